@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plenum.llm import secrets, shards
+from plenum.llm import licenses, secrets, shards
 
-QUERIES = {"op4_secret_scans": secrets.op4, "op10_sharding": shards.op10}
-ORACLE_SQL = {"op4_secret_scans": secrets.ORACLE}
+QUERIES = {"op4_secret_scans": secrets.op4, "op8_license_scans": licenses.op8, "op10_sharding": shards.op10}
+ORACLE_SQL = {"op4_secret_scans": secrets.ORACLE, "op8_license_scans": licenses.ORACLE}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plenum.llm.lineage import settled
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (a, b): label is the least node of its component.
@@ -12,13 +14,13 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label of the neighbours and then the label of that label, so chains shorten by half.
     Rounds are checkpointed; the driver only learns how many labels changed.
     """
-    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node").checkpoint()
+    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct().transform(settled)
+    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node").transform(settled)
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("a") == F.col("node"), "left").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("_via"), F.col("label").alias("_far"))
-        new = step.join(jump, F.col("label") == F.col("_via"), "left").select("node", "before", F.least("label", "_far").alias("label")).checkpoint()
+        new = step.join(jump, F.col("label") == F.col("_via"), "left").select("node", "before", F.least("label", "_far").alias("label")).transform(settled)
         labels = new.select("node", "label")
         if new.where("label <> before").isEmpty():
             return labels

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plenum.llm.lineage import settled
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
@@ -127,7 +129,7 @@ def _small(df: DataFrame) -> DataFrame:
 def measure(df: DataFrame, text: str = "text", source: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(_row, size, source, keep...) of every row, written to the checkpoint folder: the only pass over the texts."""
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{source}`").alias("source"), n_words(F.col(f"`{text}`")).alias("size"), F.monotonically_increasing_id().alias("_row"))
-    return rows.checkpoint()
+    return rows.transform(settled)
 
 
 def plan_sources(rows: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataFrame:
@@ -136,8 +138,8 @@ def plan_sources(rows: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) ->
     block = F.least(F.greatest(F.ceil(F.col("source_size") / BLOCKS), F.lit(1)), F.lit(BLOCK)).cast("long")
     t = targets(sizes).withColumn("block", block).withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
     quota = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * F.col("blocks"))).otherwise(0).cast("long")
-    t = t.withColumn("quota", quota).checkpoint()
-    return t.join(split_quotas(t, n_shards, seed), "rank").checkpoint()
+    t = t.withColumn("quota", quota).transform(settled)
+    return t.join(split_quotas(t, n_shards, seed), "rank").transform(settled)
 
 
 def mix(rows: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
@@ -172,12 +174,12 @@ def mix_texts(df: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> Data
     Its text keeps the words taken in that pass, in their order, with the white space before them; a row whose words
     are all taken keeps its text as it is. Rows without words are dropped: no mix can take words of them.
     """
-    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    numbered = df.withColumn("__row", F.monotonically_increasing_id())
     rows = measure(df, keep=())
-    pieces = mix(rows, plan_sources(rows, n_shards, seed), seed).groupBy("_row", "pass").agg(F.sort_array(F.collect_list(F.struct("word_start", "words"))).alias("_runs"), F.sum("words").alias("_taken"))
+    pieces = mix(rows, plan_sources(rows, n_shards, seed), seed).groupBy("_row", "pass").agg(F.sort_array(F.collect_list(F.struct("word_start", "words"))).alias("__runs"), F.sum("words").alias("__taken")).select(F.col("_row").alias("__row"), "__runs", "__taken")
     token = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = let(token, lambda t: F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(t, (r["word_start"] + 1).cast("int"), r["words"].cast("int")))), ""))
-    mixed = numbered.join(pieces, "_row").withColumn("text", F.when(F.col("_taken") >= n_words(F.col("text")), F.col("text")).otherwise(cut))
+    cut = let(token, lambda t: F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice(t, (r["word_start"] + 1).cast("int"), r["words"].cast("int")))), ""))
+    mixed = numbered.join(pieces, "__row").withColumn("text", F.when(F.col("__taken") >= n_words(F.col("text")), F.col("text")).otherwise(cut))
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in df.columns])
 
 

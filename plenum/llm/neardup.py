@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.llm.graph import components
+from plenum.llm.lineage import settled
 
 N, THRESHOLD = 5, 0.8
 RECALL, MOST_HASHES = 0.999, 144
@@ -184,9 +185,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
     """
     bands, rows = bands_for(threshold, recall)
     numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = numbered.mapInArrow(lambda batches: _sign(batches, n, bands, rows), SIGNED).checkpoint()
+    signed = numbered.mapInArrow(lambda batches: _sign(batches, n, bands, rows), SIGNED).transform(settled)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
-    reps = signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("_row").alias("node"), F.count("*").alias("copies"), first, F.first("bands").alias("bands")).checkpoint()
+    reps = signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("_row").alias("node"), F.count("*").alias("copies"), first, F.first("bands").alias("bands")).transform(settled)
     banded = reps.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
     edges = banded.join(shared, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
@@ -197,7 +198,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
     sets = texts.select(F.col("_row").alias("node"), "label", "copies", "blocks", "block", "text").mapInArrow(lambda batches: _gram_sets(batches, n), "node long, label long, copies long, blocks long, block long, grams binary")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     paired = sets.withColumn("_other", other).select("label", F.least("block", "_other").alias("one"), F.greatest("block", "_other").alias("two"), "node", "copies", "block", "grams")
-    checked = paired.groupBy("label", "one", "two").applyInArrow(_verify(threshold), "node long, links long, root long").checkpoint()
+    checked = paired.groupBy("label", "one", "two").applyInArrow(_verify(threshold), "node long, links long, root long").transform(settled)
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     labelled = reps.join(links, "node", "left").join(joined, "node", "left").select("k1", "k2", "n", "copies", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label"))
@@ -209,8 +210,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """One row of each class, with all columns: the one with the least doc_id."""
-    kept = classes(docs.select("doc_id", "text"), threshold, n).where("_row = class_row").select("_row")
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = classes(docs.select("doc_id", "text"), threshold, n).where("_row = class_row").select(F.col("_row").alias("__row"))
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plenum.llm.lineage import settled
+
 BUCKETS = 1 << 16
 #: The most labelled documents that the target model and the cut are fitted on.
 LABELLED = 20_000
@@ -150,12 +152,12 @@ def weigh(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[Dat
     empty text has no n-grams: its log weight is 0. Repeated rows are drawn one by one.
     """
     sample = labelled(labels, most)
-    sample = sample.checkpoint()
+    sample = sample.transform(settled)
     ratio = log_ratios(docs, sample)
     u = (F.pmod(F.xxhash64(F.lit(SEED), "_row", "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = rows.mapInArrow(lambda batches: _score(batches, ratio), "_row long, doc_id long, log_weight double")
-    scored = scored.withColumn("key", F.col("log_weight") - F.log(-F.log(u))).checkpoint()
+    scored = scored.withColumn("key", F.col("log_weight") - F.log(-F.log(u))).transform(settled)
     return scored, scored.where(F.col("log_weight") >= cut(scored, sample)).count()
 
 
@@ -170,8 +172,8 @@ def draw(scored: DataFrame, k: int) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are drawn, with all their columns."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(draw(*weigh(docs, labels)).select("_row"), "_row").select(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    return numbered.join(draw(*weigh(docs, labels)).select(F.col("_row").alias("__row")), "__row").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,19 +59,19 @@ def index_trigrams(rules: tuple[Rule, ...]) -> list[str]:
 
 
 def postings(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(trigram, _row) for the rules' trigrams. `rows` has `_row` and `text`."""
+    """(trigram, __row) for the rules' trigrams. `rows` has `__row` and `text`."""
     low = F.lower("text")
-    held = F.filter(F.array(*map(F.lit, index_trigrams(rules))), lambda t: F.contains(F.col("_low"), t))
-    return rows.select("_row", low.alias("_low")).select("_row", F.explode(held).alias("trigram"))
+    held = F.filter(F.array(*map(F.lit, index_trigrams(rules))), lambda t: F.contains(F.col("__low"), t))
+    return rows.select("__row", low.alias("__low")).select("__row", F.explode(held).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(_row, kinds) of the rows whose postings satisfy a clause of a rule. One row for each `_row`."""
+    """(__row, __kinds) of the rows whose postings satisfy a clause of a rule. One row for each `__row`."""
     spark = index.sparkSession
     wanted = [(f"{r.kind}:{k}", r.kind, t, len(c)) for r in rules for k, c in enumerate(r.clauses()) for t in sorted(c)]
     clauses = spark.createDataFrame(wanted, "clause string, kind string, trigram string, of int")  # bounded by the rules
-    whole = index.join(F.broadcast(clauses), "trigram").groupBy("_row", "clause", "kind", "of").agg(F.count("*").alias("n")).where("n = of")
-    return whole.groupBy("_row").agg(F.collect_set("kind").alias("kinds"))  # at most one entry for each rule
+    whole = index.join(F.broadcast(clauses), "trigram").groupBy("__row", "clause", "kind", "of").agg(F.count("*").alias("n")).where("n = of")
+    return whole.groupBy("__row").agg(F.collect_set("kind").alias("__kinds"))  # at most one entry for each rule
 
 
 def _matches(text: Column, r: Rule) -> Column:
@@ -93,14 +93,14 @@ def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") ->
 
     Starts and ends are code points, ends exclusive. Spans of one rule don't overlap; those of different rules may.
     A null or empty text has no spans. Repeated rows are scanned as rows of their own. A column called `secrets` is
-    replaced; other columns pass, whatever their names. The index is keyed by the row's place in its input, so the
+    replaced; other columns pass, whatever their names (two leading underscores are reserved). The index is keyed by the row's place in its input, so the
     input has to come in the same order each time it is read, as files do.
     """
-    rows = df.drop("secrets").withColumn("_row", F.monotonically_increasing_id())
-    lean = rows.select("_row", F.col(f"`{text}`").alias("text"))
+    rows = df.drop("secrets").withColumn("__row", F.monotonically_increasing_id())
+    lean = rows.select("__row", F.col(f"`{text}`").alias("text"))
     found = candidates(postings(lean.where(F.col("text").isNotNull()), rules), rules)
-    joined = rows.join(found, "_row", "left")
-    return joined.withColumn("secrets", spans_of(F.col(f"`{text}`"), F.col("kinds"), rules)).drop("_row", "kinds")
+    joined = rows.join(found, "__row", "left")
+    return joined.withColumn("secrets", spans_of(F.col(f"`{text}`"), F.col("__kinds"), rules)).drop("__row", "__kinds")
 
 
 def _spans(text: Column, kinds: Column, rank: int, r: Rule) -> Column:

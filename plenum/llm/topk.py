@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plenum.llm.lineage import settled
+
 K = 20
 CANDIDATES, QUERIES = 16_384, 512
 #: Entries of each list in the first step; each later step doubles the depth.
@@ -96,7 +98,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     their own: a query meets its copies, not itself. Vectors of different lengths are compared as if filled up with
     zeros. Sums beyond 63 bits are not defined.
     """
-    rows = vectors.where("vec_id IS NOT NULL AND v IS NOT NULL").select(F.monotonically_increasing_id().alias("_row"), F.col("vec_id").cast("long").alias("vec_id"), "v", is_query.alias("_q")).checkpoint()
+    rows = vectors.where("vec_id IS NOT NULL AND v IS NOT NULL").select(F.monotonically_increasing_id().alias("_row"), F.col("vec_id").cast("long").alias("vec_id"), "v", is_query.alias("_q")).transform(settled)
     n, asked = rows.agg(F.count("*"), F.count_if("_q")).first()
     c_blocks, q_blocks = max(1, math.ceil(n / CANDIDATES)), max(1, math.ceil(asked / QUERIES))
     deal = lambda blocks, salt: F.pmod(F.xxhash64("_row", F.lit(salt)), F.lit(blocks))

@@ -24,3 +24,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+def _load() -> None:
+    """Import the modules that register queries."""
+    from plenum.plans import speech  # noqa: F401
+
+
+_load()

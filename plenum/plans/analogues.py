@@ -20,7 +20,8 @@ _VIEWS = {
 def entity(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, columns = _VIEWS[name]
     view = table(spark, sf_dir, source)
-    return spark.sql(f"SELECT {columns} FROM {{view}}", view=view)
+    written = columns.replace("{", "{{").replace("}", "}}")
+    return spark.sql(f"SELECT {written} FROM {{view}}", view=view)
 
 
 def with_views(names: str, body: str) -> str:

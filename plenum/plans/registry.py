@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from plenum.plans import relational, scalars, speech  # noqa: F401
+    from plenum.plans import lifecycle, relational, scalars, speech  # noqa: F401
 
 
 _load()

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 ROOM_ID = r"^[a-z]{3}-[a-z]{4}-[a-z]{3}$"
@@ -31,7 +32,7 @@ def slugify(s: Column) -> Column:
     return _slugify(s)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _slugify(s: pd.Series) -> pd.Series:
     plain = s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
     kept = plain.str.lower().str.replace(r"[^\w\s-]", "", regex=True)

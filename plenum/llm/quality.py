@@ -98,25 +98,31 @@ def labelled(labels: DataFrame, most: int = LABELLED) -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
-    """Per bucket the log ratio of its probabilities, each model with one count more in each bucket. The raw model counts all documents."""
+    """Per bucket the log ratio of its probabilities, each model with one count more in each bucket; 0 without any target
+    text. The raw model counts all documents."""
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left").select("text", "quality")
     sums = known.mapInArrow(_count, "bucket long, n_raw long, n_target long").groupBy("bucket").agg(F.sum("n_raw"), F.sum("n_target"))
     counts = np.ones((2, BUCKETS))
     for bucket, raw, target in sums.collect():  # BUCKETS rows at most
         counts[:, bucket] += raw, target
+    if counts[1].sum() == BUCKETS:
+        return np.zeros(BUCKETS, np.float32)
     logs = np.log(counts) - np.log(counts.sum(axis=1, keepdims=True))
     return (logs[1] - logs[0]).astype(np.float32)
 
 
 def cut(scored: DataFrame, sample: DataFrame) -> float:
-    """The log weight that best parts good from bad among the labelled sample, errors of both kinds weighing alike as rates; 0 without both kinds.
+    """The log weight that best parts good from bad among the labelled sample, errors of both kinds weighing alike as rates.
 
     Of the cuts whose error is within SLACK of the least it is the middle of the widest gap.
+    Without bad ones it is the least weight of the good, without good ones nothing is cut.
     """
     pairs = scored.join(F.broadcast(sample), "doc_id").select("log_weight", "quality").limit(2 * LABELLED).collect()
     w, good = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs], bool)
-    if not len(w) or good.all() or not good.any():
-        return 0.0
+    if not good.any():
+        return float("-inf")
+    if good.all():
+        return float(w.min())
     order = np.argsort(w, kind="stable")
     w, good = w[order], good[order]
     lost, left = np.cumsum(good) / good.sum(), 1 - np.cumsum(~good) / (~good).sum()

@@ -53,7 +53,7 @@ def shard_rows(df: DataFrame, keys: list[str], shards: list[str], table_size: in
     """`df` with the columns `slot` and `shard`; every input row comes out once.
 
     Rows with equal `keys` meet in one shard. With `spread_by`, a key that holds more than an even shard's rows is
-    dealt over as many sub-keys as it fills shards, by a hash of the columns `spread_by`. At most one key per
+    dealt over as many sub-keys as it fills shards (a single row stays where it is), by a hash of the columns `spread_by`. At most one key per
     shard can be that large, so the list of hot keys is bounded by the number of shards.
 
     Nulls are keys like any other (null and '' differ); equal rows go to the same shard; an empty table stays
@@ -64,7 +64,7 @@ def shard_rows(df: DataFrame, keys: list[str], shards: list[str], table_size: in
     rows = df.drop("slot", "shard").withColumn("_shard_key", key)
     if spread_by:
         n = rows.count()
-        hot = rows.groupBy("_shard_key").agg(F.count("*").alias("_key_rows")).where(F.col("_key_rows") * len(shards) > n)
+        hot = rows.groupBy("_shard_key").agg(F.count("*").alias("_key_rows")).where((F.col("_key_rows") > 1) & (F.col("_key_rows") * len(shards) > n))
         split = F.ceil(F.col("_key_rows") * len(shards) / F.lit(max(n, 1)))
         deal = F.pmod(hash60(F.concat_ws("\x1f", *map(part, spread_by))), split)
         rows = rows.join(F.broadcast(hot), "_shard_key", "left").withColumn("_shard_key", F.when(F.col("_key_rows").isNull(), F.col("_shard_key")).otherwise(F.concat_ws("\x1f", "_shard_key", deal.cast("string")))).drop("_key_rows")

@@ -1,0 +1,218 @@
+"""Parts of the operators: tables, sketches, distributions, redaction, mixing, hot keys."""
+
+import math
+import random
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from plenum.llm import fingerprints, graph, langid, licenses, mixing, neardup, quality, secrets, shards, topk
+
+
+def test_fill_is_even_and_stable():
+    names = shards.shard_names(10)
+    table = shards.fill(names, 1009)
+    counts = Counter(table)
+    assert max(counts.values()) - min(counts.values()) <= 1
+    fewer = shards.fill(names[:9], 1009)
+    moved = sum(a != b for a, b in zip(table, fewer, strict=True) if a < 9)
+    assert moved < 1009 * 0.12  # besides the lost shard's slots
+
+
+def test_hot_key_is_spread(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 1000, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), "id")
+    got = shards.shard_rows(rows, ["k"], shards.shard_names(8), 251, ["id"])
+    assert got.count() == 3000
+    assert got.where("k = 'hot'").groupBy("shard").count().agg(F.max("count")).first()[0] < 900
+    assert shards.shard_rows(rows, ["k"], shards.shard_names(8), 251).where("k = 'hot'").select("shard").distinct().count() == 1
+
+
+def test_trigram_clauses():
+    by = {r.kind: r for r in secrets.RULES}
+    assert by["hex"].clauses() == []
+    assert frozenset({"tok", "oke", "ken"}) in by["assign"].clauses()
+    assert by["access"].clauses() == [frozenset({"aki", "kia"})]
+    assert secrets.Rule("x", "ab", (("ab",),)).clauses() == []
+
+
+def test_redact(spark):
+    rows = spark.createDataFrame([("é password=abcdefgh12 x token: 12345678", "k"), ("clean", "k"), (None, "k")], "text string, kinds string")
+    assert [r.text for r in secrets.redact(rows).orderBy(F.col("text").desc_nulls_last()).collect()] == ["é [SECRET] x [SECRET]", "clean", None]
+
+
+def test_full_scan_rule_equals_indexed(spark):
+    """A rule with its trigrams finds what it finds without."""
+    texts = ["token=abcdefgh1", "TOKEN = 'abcdefgh1'", "tok en=abcdefgh1", "apikey:abcdefgh2 api_key:abcdefgh3", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    assign = secrets.BASE[0]
+    bare = secrets.Rule(assign.kind, assign.regex, (), assign.group, assign.least)
+    spans = lambda r: sorted(map(str, secrets.scan(rows, (r,)).select("text", secrets.joined(F.col("secrets"))).collect()))
+    assert spans(assign) == spans(bare)
+
+
+def test_sketch_peels_what_differs(spark):
+    rng = random.Random(3)
+    for n, d in ((40, 3), (200, 30), (900, 700), (0, 0), (0, 5)):
+        common = [rng.getrandbits(62) for _ in range(n)]
+        a, b = common + [rng.getrandbits(62) for _ in range(d)], common + [rng.getrandbits(62) for _ in range(d // 2)]
+        row = spark.createDataFrame([(a, b)], "a array<long>, b array<long>")
+        want = 1.0 if not a and not b else n / len(set(a) | set(b))
+        assert math.isclose(row.select(fingerprints.likeness(F.col("a"), F.col("b")).alias("x")).first().x, want)
+    row = spark.createDataFrame([([1, 2, 3, 4], [3, 4, 5])], "a array<long>, b array<long>")
+    w = fingerprints.WIDTHS[1]
+    got = row.select(fingerprints.peel(fingerprints.subtract(fingerprints.sketch(F.col("a"), w), fingerprints.sketch(F.col("b"), w)), w).alias("p")).first().p
+    assert sorted(got.a) == [1, 2] and got.b == [5]
+
+
+def test_next_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "GROUP", 7)
+    ids = random.Random(1).sample(range(1000), 100)
+    rows = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").withColumn("_row", F.monotonically_increasing_id())
+    got = {r.doc_id: r.next_text for r in fingerprints.with_next(rows, "doc_id", ["text"]).collect()}
+    order = sorted(ids)
+    assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1], strict=True)}
+
+
+def test_hypergeometric(spark):
+    rows = spark.range(4000).select(mixing.hypergeometric(F.lit(30).cast("long"), F.lit(100).cast("long"), F.lit(20).cast("long"), mixing.uniform(F.col("id"))).alias("x"))
+    c = Counter(r.x for r in rows.collect())
+    pmf = {k: math.comb(30, k) * math.comb(70, 20 - k) / math.comb(100, 20) for k in range(21)}
+    assert all(abs(c[k] / 4000 - p) < 4 * math.sqrt(p / 4000) + 0.002 for k, p in pmf.items())
+    edge = spark.range(1).select(*[mixing.hypergeometric(F.lit(g).cast("long"), F.lit(n).cast("long"), F.lit(d).cast("long"), F.lit(0.5)) for g, n, d in ((0, 0, 0), (5, 5, 3), (0, 9, 4), (7, 9, 9))]).first()
+    assert list(edge) == [0, 3, 0, 7]
+
+
+def test_quotas_are_exact(spark):
+    quotas = [(0, 1000), (1, 1), (2, 0), (3, 333)]
+    got = {r.rank: r.ends for r in mixing.split_quotas(spark.createDataFrame(quotas, "rank int, quota long"), 7).collect()}
+    assert {k: e[-1] for k, e in got.items()} == dict(quotas) and all(len(e) == 7 and e == sorted(e) for e in got.values())
+    sizes = [sum(e[k] - (e[k - 1] if k else 0) for e in got.values()) for k in range(7)]
+    assert max(sizes) - min(sizes) <= 2
+
+
+def test_mix_texts(spark, docs, rows):
+    out = mixing.mix_texts(docs)
+    assert out.columns == docs.columns
+    got = out.select("doc_id", "text", "n_chars", "size", "pass").collect()
+    words = lambda t: len((t or "").split())
+    assert all(r.text and r.n_chars == len(r.text) and r.size == 1 and r["pass"] == 1 for r in got)
+    whole = Counter()
+    for r in got:
+        whole[r.doc_id] += words(r.text)
+    total = Counter()
+    for r in rows:
+        total[r[0]] += words(r[1])
+    assert all(n <= 2 * total[k] for k, n in whole.items())
+
+
+def test_license_templates_tolerate_edits(spark):
+    long = next(t for t in licenses.TEMPLATES if t.label == "bsd").text.split()
+    edited = long[:6] + ["really"] + long[6:11] + long[12:]
+    rows = spark.createDataFrame([(1, "intro words " + " ".join(edited) + " and so on"), (2, " ".join(long[:6])), (3, "general public, LICENSE general public license")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, [s.label for s in r.spans], [s.start for s in r.spans]) for r in licenses.scan(rows).collect()}
+    assert got[1][1] == ["bsd"] and got[2][1] == [] and got[3][1] == ["gpl", "gpl"] and got[3][2] == [0, 3]
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    pairs = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (101, 103), (7, 7)] + [(200 + rng.randint(0, 5), 200 + rng.randint(0, 5)) for _ in range(9)]
+    got = {r.node: r.label for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert {got[k] for k in range(41)} == {0} and {got[k] for k in (100, 101, 103)} == {100}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """A large group of near copies, verified in several blocks, and chains of links over blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(6)
+    base = [f"w{rng.randint(0, 500)}" for _ in range(120)]
+    texts = []
+    for _ in range(70):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"new{rng.randint(0, 40)}"
+        texts.append(" ".join(w))
+    chain = [f"c{k}" for k in range(100)]
+    for k in range(12):
+        texts.append(" ".join(chain[4 * k :] + [f"d{j}" for j in range(4 * k)]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.classes(rows).collect()}
+    sets = [neardup.Shingles()(t) for t in texts]
+    links, parent = [0] * len(sets), list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                links[i] += 1
+                links[j] += 1
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    assert got == {i: (find(i), links[i]) for i in range(len(sets))}
+
+
+def test_bands():
+    bands, rows = neardup.bands_for()
+    assert bands * rows <= neardup.MOST_HASHES and 1 - (1 - neardup.THRESHOLD**rows) ** bands >= neardup.RECALL
+
+
+def test_deduplicate_keeps_columns(spark, docs):
+    out = neardup.deduplicate(docs)
+    assert out.columns == docs.columns and out.where("_row = 3").count() == out.count() < docs.count()
+
+
+def test_kth_largest(spark):
+    rng = random.Random(1)
+    values = [rng.choice([0.5, rng.random(), rng.gauss(0, 1e6), -3.0]) for _ in range(6000)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").cache()
+    order = sorted(values, reverse=True)
+    for k in (1, 2, 1500, 3000, 4321, 6000):
+        v, r = quality.kth_largest(rows, "v", k)
+        assert v == order[k - 1] and r == k - sum(x > v for x in values)
+
+
+def test_quality_parts_junk(spark):
+    rng = random.Random(9)
+    good = lambda: " ".join(rng.choice(["alpha", "beta", "gamma,", "delta."]) for _ in range(40))
+    junk = lambda: " ".join(rng.choice(["ALPHA!!", "BETA!!", "|"]) for _ in range(40))
+    rows = [(k, junk() if k % 5 == 0 else good()) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0 if k % 5 == 0 else 1) for k in range(100)], "doc_id long, quality int")
+    assert {r.doc_id for r in quality.classify(docs, labels).collect()} == {k for k in range(300) if k % 5}
+    assert quality.draw(*quality.weigh(docs, labels.limit(0))).count() > 0
+
+
+def test_threshold_search_is_exact():
+    rng = np.random.default_rng(0)
+    points = rng.integers(-5, 6, (300, 8)).astype(float)
+    ids = rng.permutation(300)
+    down = np.argsort(-points, axis=0, kind="stable").T
+    for own in range(0, 300, 17):
+        q = points[own] * (rng.random(8) < 0.7)
+        got = topk.threshold_search(points, ids, np.arange(300), q, own, down, 20, step=4)
+        s = points @ q
+        want = sorted((k for k in range(300) if k != own), key=lambda k: (-s[k], ids[k]))[:20]
+        assert list(got) == want
+
+
+def test_network_lookup_equals_convolution():
+    rng = np.random.default_rng(3)
+    net = langid.Network(["a", "b"], [rng.normal(size=(w, 256, langid.FILTERS)).astype(np.float32) for w in langid.WIDTHS], rng.normal(size=(langid.FILTERS * 3, 2)).astype(np.float32), np.zeros(2, np.float32))
+    text = bytes(rng.integers(97, 123, 300, np.uint8))
+    n = (len(text) + langid.REACH - 1) // langid.WINDOW + 1
+    padded = np.frombuffer(text.ljust(n * langid.WINDOW + 4, b"\0"), np.uint8)
+    logits = []
+    for k in range(n):
+        h = []
+        for w, c in zip(langid.WIDTHS, net.conv, strict=True):
+            h.append(np.max([sum(c[j][padded[k * langid.WINDOW + i + j]] for j in range(w)) for i in range(langid.WINDOW)], axis=0))
+        logits.append(np.concatenate(h) @ net.top)
+    z = np.mean(logits, axis=0)
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    assert np.allclose(langid.Reader(net)([text, b"x", text])[0], p, atol=1e-4)
+    assert langid.Reader(net)([b"x" * k for k in (1, 124, 125, 126, 128, 129)]).shape == (6, 2)

@@ -96,19 +96,21 @@ class Reader:
         self.far = np.concatenate([c[2][a] + (c[3][b] if len(c) > 3 else 0) for c in net.conv if len(c) > 2], axis=1)
         self.n_near = sum(len(c) == 2 for c in net.conv) * FILTERS
 
-    def pooled(self, pairs: np.ndarray, n: int) -> np.ndarray:
-        """pairs: the two bytes at each place as a number. The largest responses of n windows."""
+    def pooled(self, b: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """b: the bytes of all windows, one after the other, and REACH + 1 more; last: which windows end their text, so that
+        filters see zeros behind them. The largest responses of each window."""
+        n = len(last)
         out = np.empty((n, self.near.shape[1]), np.float32)
         one, two = np.empty((WINDOW, ROWS, self.near.shape[1]), np.float32), np.empty((WINDOW, ROWS, self.far.shape[1]), np.float32)
+        windows = np.lib.stride_tricks.as_strided(b, (n, WINDOW + REACH + 1), (WINDOW * b.itemsize, b.itemsize))
         for at in range(0, n, ROWS):
             rows = min(ROWS, n - at)
-            start, end = at * WINDOW, (at + rows) * WINDOW
-            i = np.zeros((WINDOW, ROWS), np.intp)
-            j = np.zeros((WINDOW, ROWS), np.intp)
-            i[:, :rows] = pairs[start:end].reshape(rows, WINDOW).T
-            j[:, :rows] = pairs[start + 2 : end + 2].reshape(rows, WINDOW).T
-            np.take(self.near, i, axis=0, out=one, mode="clip")
-            np.take(self.far, j, axis=0, out=two, mode="clip")
+            m = np.zeros((ROWS, windows.shape[1]), np.intp)
+            m[:rows] = windows[at : at + rows]
+            m[:rows][last[at : at + rows], WINDOW:] = 0
+            m = m.T
+            np.take(self.near, m[:WINDOW] << 8 | m[1 : WINDOW + 1], axis=0, out=one, mode="clip")
+            np.take(self.far, m[2 : WINDOW + 2] << 8 | m[3 : WINDOW + 3], axis=0, out=two, mode="clip")
             one[:, :, self.n_near :] += two
             out[at : at + rows] = one.max(axis=0)[:rows]
         return out
@@ -116,8 +118,10 @@ class Reader:
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         """Probabilities (texts, langs)."""
         counts = np.array([(len(t) + REACH - 1) // WINDOW + 1 for t in texts])
-        b = np.frombuffer(b"".join(t.ljust(c * WINDOW, b"\0") for t, c in zip(texts, counts, strict=True)) + bytes(4), np.uint8).astype(np.uint16)
-        h = self.pooled(b[:-1] << 8 | b[1:], int(counts.sum()))
+        b = np.frombuffer(b"".join(t.ljust(c * WINDOW, b"\0") for t, c in zip(texts, counts, strict=True)) + bytes(REACH + 1), np.uint8)
+        last = np.zeros(int(counts.sum()), bool)
+        last[np.cumsum(counts) - 1] = True
+        h = self.pooled(b, last)
         logits = np.add.reduceat(h @ self.net.top, np.r_[0, np.cumsum(counts)[:-1]], axis=0) / counts[:, None] + self.net.bias
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)

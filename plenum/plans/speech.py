@@ -175,11 +175,11 @@ def f5(spark, d):
 
 
 @query("f6_counter_rate", with_views("meeting", f"""
-SELECT event_id, round(CASE WHEN dt > 0 THEN greatest(0, dv * 8 / dt) ELSE 0 END, 6)::DOUBLE AS kbps FROM (
+SELECT event_id, floor(CASE WHEN dt > 0 THEN greatest(0, dv * 8 / dt) ELSE 0 END * 1000000 + 0.5)::BIGINT AS micro_kbps FROM (
 SELECT event_id, coalesce(value - lag(value) OVER {_SEQ}, 0) AS dv, coalesce(epoch_ms(ts) - lag(epoch_ms(ts)) OVER {_SEQ}, 0) AS dt FROM meeting)"""))
 def f6(spark, d):
     rows = entity(spark, d, "meeting").withColumn("at", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
-    return counters.rate(rows, ["participant"], ["ts", "event_id"], "value", "at").select("event_id", F.round("kbps", 6).alias("kbps"))
+    return counters.rate(rows, ["participant"], ["ts", "event_id"], "value", "at").select("event_id", F.floor(F.col("kbps") * 1_000_000 + 0.5).alias("micro_kbps"))
 
 
 @query("f7_ring_buffer", with_views("meeting", "SELECT participant, event_id FROM (SELECT *, row_number() OVER (PARTITION BY participant ORDER BY ts DESC, event_id DESC) AS n FROM meeting) WHERE n <= 60"))

@@ -176,7 +176,7 @@ def f5(spark, d):
 
 @query("f6_counter_rate", with_views("meeting", f"""
 SELECT event_id, floor(CASE WHEN dt > 0 THEN greatest(0, dv * 8 / dt) ELSE 0 END * 1000000000 + 0.5)::BIGINT AS nano_kbps FROM (
-SELECT event_id, coalesce(value - lag(value) OVER {_SEQ}, 0) AS dv, coalesce(epoch_ms(ts) - lag(epoch_ms(ts)) OVER {_SEQ}, 0) AS dt FROM meeting)"""))
+SELECT event_id, coalesce(value - lag(value) OVER {_SEQ}, 0) AS dv, coalesce((epoch_us(ts) // 1000) - lag((epoch_us(ts) // 1000)) OVER {_SEQ}, 0) AS dt FROM meeting)"""))
 def f6(spark, d):
     rows = entity(spark, d, "meeting").withColumn("at", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
     return counters.rate(rows, ["participant"], ["ts", "event_id"], "value", "at").select("event_id", F.floor(F.col("kbps") * 1_000_000_000 + 0.5).alias("nano_kbps"))

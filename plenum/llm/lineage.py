@@ -1,25 +1,10 @@
-"""Where intermediate results are kept: in the folder that the cluster shares."""
+"""Where intermediate results are kept."""
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where it is unset, as in tests, a local session gets one of its own; a cluster has to name one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    context = spark.sparkContext
-    own = context.getCheckpointDir()
-    if own:
-        return own
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return context.getCheckpointDir()
+from plenum.sources.folders import shared_folder
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ keep("c13_invalid_pattern", "rooms", "id", lambda: fields.name_matches(c("name")
 keep("c14_prefix", "rooms", "id", lambda: ~F.startswith(c("name"), F.lit("Room 1")), "NOT starts_with(name, 'Room 1')")
 keep("c15_known_types", "meeting", "event_id", lambda: c("type").isin("speech_start", "speech_end"), "type IN ('speech_start', 'speech_end')")
 keep("c17_key_switch", "rooms", "id", lambda: fields.is_key(F.when(c("id") % 2 == 0, "64").otherwise("ROOM 33"), c("id"), F.lower("name")), "CASE WHEN id % 2 = 0 THEN id::VARCHAR = '64' ELSE lower(name) = 'room 33' END")
-keep("c22_scope", "users", "id", lambda: F.array_contains(json_ops.split_scopes(F.concat_ws(" ", F.lit("meet:ROOMS"), c("language"), F.lit("meet:rooms")), "meet:"), "en-us"), "language = 'en-us'")
+keep("c22_scope", "users", "id", lambda: F.array_contains(json_ops.split_scopes(F.concat_ws(" ", F.lit("app:ROOMS"), c("language"), F.lit("app:rooms")), "app:"), "en-us"), "language = 'en-us'")
 keep("c25_printable", "users", "id", lambda: fields.printable(c("full_name"), 18), "regexp_matches(full_name, '^[ -~]*$') AND length(full_name) <= 18")
 keep("c27_any_set", "users", "id", lambda: fields.any_set(c("email"), c("sub")), "(email IS NOT NULL AND email <> '') OR sub IS NOT NULL")
 project("c28_forbidden_fields", "users", "id", {"names": (lambda: F.array_join(fields.set_fields([("email", c("email")), ("sub", c("sub"))]), ","), "concat_ws(',', CASE WHEN email IS NOT NULL THEN 'email' END, CASE WHEN sub IS NOT NULL THEN 'sub' END)")})

@@ -56,14 +56,14 @@ def threshold_search(points: np.ndarray, ids: np.ndarray, rows: np.ndarray, quer
         met[down[used[up], n - to : n - depth]] = True
         fresh = np.flatnonzero(met & ~seen) if len(used) else np.flatnonzero(~seen)
         seen |= met
-        got = points[fresh] @ query
+        got = points.take(fresh, axis=0) @ query
         if len(best) == k:
             fresh, got = fresh[got >= scores[-1]], got[got >= scores[-1]]
         best, scores = np.concatenate([best, fresh]), np.concatenate([scores, got])
         order = np.lexsort((ids[best], -scores))[:k]
         best, scores, depth = best[order], scores[order], to
         reached = np.where(up, points[down[used, n - to], used], points[down[used, to - 1], used])
-        if not len(used) or len(best) == k and reached @ query[used] < scores[-1]:
+        if not len(used) or seen.all() or len(best) == k and reached @ query[used] < scores[-1]:
             break
     return best
 
@@ -75,9 +75,11 @@ def _search(k: int):
             width = max(int(np.diff(t.column("v").combine_chunks().offsets.to_numpy()).max()) for t in (candidates, queries))
             points, asked = _matrix(candidates, width), _matrix(queries, width)
             limit = float(np.abs(points).max(initial=0)) * float(np.abs(asked).max(initial=0)) * max(width, 1)
-            if limit < 2**53:  # sums of doubles are exact, and their products faster
-                points, asked = points.astype(np.float64), asked.astype(np.float64)
-            down = np.argsort(-points, axis=0, kind="stable").T
+            for bits, kind in ((24, np.float32), (53, np.float64)):  # sums of floats are exact up to here, and their products faster
+                if limit < 2**bits:
+                    points, asked = points.astype(kind), asked.astype(kind)
+                    break
+            down = np.ascontiguousarray(np.argsort(-points, axis=0, kind="stable").T.astype(np.int32))
             ids, rows = candidates.column("vec_id").to_numpy(), candidates.column("_row").to_numpy()
             names, owns = queries.column("vec_id").to_numpy(), queries.column("_row").to_numpy()
             for query, name, own in zip(asked, names, owns, strict=True):

@@ -9,7 +9,7 @@ from plenum.plans.analogues import entity, with_views
 from plenum.plans.registry import query
 from plenum.sources.tables import table
 
-DAY_MS, SLOT_MS = 86_400_000, 3_600_000
+DAY_MS, SLOT_MS = 86_400_000, 21_600_000
 
 
 def speech(spark, d):

@@ -1,6 +1,7 @@
 """Streams give the results of their batch twins; sources read back what sinks wrote."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ def feed(spark, tmp_path):
         d.mkdir()
         for k, rows in enumerate(batches):
             (d / f"{k}.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+            os.utime(d / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))  # files are read by their age
         return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(d)), spark.read.schema(schema).json(str(d))
 
     return make

@@ -39,17 +39,26 @@ def a4(spark, d):
     return spark.read.parquet(at)
 
 
-@query("a5_meeting_documents", with_views("meeting", "SELECT day::VARCHAR AS day, count(*) AS n, count(*) FILTER (type = 'chat_received') AS chats, count(DISTINCT participant) AS people FROM meeting GROUP BY day"))
-def a5(spark, d):
-    """Written as one JSON document for each day (A6), read again and unfolded (A5)."""
+def _written_meetings(spark: SparkSession, d: str) -> DataFrame:
+    """One JSON document for each day, written and read again."""
     rows = entity(spark, d, "meeting").select(c("day").cast("string").alias("day"), c("participant").cast("string").alias("participant_id"), "type", F.date_format(c("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), F.lit(None).cast("string").alias("data"), F.concat(F.lit("P"), c("participant").cast("string")).alias("name"))
     at = fresh_folder(spark, "meetings")
     stores.write_meeting_documents(rows, "day", at)
-    back = spark.read.schema(f"day string, {stores.MEETING}").json(at)
-    each = back.select("day", F.size("participants").cast("long").alias("people"), F.explode("events").alias("e"))
+    return spark.read.schema(f"day string, {stores.MEETING}").json(at)
+
+
+@query("a5_meeting_documents", with_views("meeting", "SELECT day::VARCHAR AS day, count(*) AS n, count(*) FILTER (type = 'chat_received') AS chats, count(DISTINCT participant) AS people FROM meeting GROUP BY day"))
+def a5(spark, d):
+    each = _written_meetings(spark, d).select("day", F.size("participants").cast("long").alias("people"), F.explode("events").alias("e"))
     return each.groupBy("day", "people").agg(F.count("*").alias("n"), F.count_if(c("e.type") == "chat_received").alias("chats")).select("day", "n", "chats", "people")
 
 
+@query("a6_meeting_sink", with_views("meeting", "SELECT day::VARCHAR AS day, strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%f') AS first, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%f') AS last FROM meeting GROUP BY day"))
+def a6(spark, d):
+    """The sink sorts a document's events by time, so its first and last events are the earliest and the latest."""
+    return _written_meetings(spark, d).select("day", F.element_at("events", 1)["timestamp"].alias("first"), F.element_at("events", -1)["timestamp"].alias("last"))
+
+
 @query("a7_transcript_sink", "SELECT role AS job_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY role")
 def a7(spark, d):
     at = fresh_folder(spark, "transcripts")

@@ -199,6 +199,8 @@ project("j5_uuid_shape", "users", "id", {"x": (lambda: text.is_uuid(F.when(c("id
 project("j6_capitalize_first", "users", "id", {"x": (lambda: text.capitalize_first(c("language")), "upper(language[1]) || language[2:]")})
 project("j7_zero_pad", "users", "id", {"x": (lambda: text.zero_pad(c("id").cast("string"), 4), "CASE WHEN length(id::VARCHAR) >= 4 THEN id::VARCHAR ELSE lpad(id::VARCHAR, 4, '0') END")})
 project("j8_replace_list", "conversations", "conv_id, turn", {"x": (lambda: text.replace_all(F.substring("text", 1, 80), [("the", "THE"), (".", ""), ("an", "[an]")]), "replace(replace(replace(substr(text, 1, 80), 'the', 'THE'), '.', ''), 'an', '[an]')")})
+_REPLACED = [("the", "THE"), (".", ""), ("an", "[an]")]
+project("j8_replace_list_whole", "conversations", "conv_id, turn", {"x": (lambda: text.replace_all(c("text"), _REPLACED), "replace(replace(replace(text, 'the', 'THE'), '.', ''), 'an', '[an]')")})
 project("j9_template", "rooms", "id", {"x": (lambda: F.format_string("Meeting %s (%d)", "name", "id"), "'Meeting ' || name || ' (' || id || ')'")})
 project("j10_clean_url", "pages", "page_id", {"x": (lambda: text.clean_url(c("url")), "regexp_replace(url, '[?#].*$', '')")})
 project("j11_redact_query", "pages", "page_id", {"x": (lambda: text.redact_query(c("url")), "string_split(url, '?')[1]")})
@@ -256,6 +258,17 @@ def k14(spark, d):
     return out.select("conv_id", "turn", "s.speaker", F.get("s.words", F.lit(0))["speaker"].alias("word_speaker"), F.get("s.words", F.lit(0))["word"].alias("word"))
 
 
+@query("k14_relabel_words", "SELECT conv_id, turn, speaker, (i - 1)::INTEGER AS pos, speaker AS word_speaker, w[i] AS word FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'Ada' ELSE role END AS speaker, string_split(text, ' ') AS w FROM conversations))")
+def k14_words(spark, d):
+    """Every word of the segment, each relabelled."""
+    names = F.create_map(F.lit("user"), F.lit("Ada"))
+    role = c("role")
+    words = F.transform(F.split("text", " "), lambda w: F.struct(w.alias("word"), role.alias("speaker")))
+    seg = F.array(F.struct(role.alias("speaker"), words.alias("words")))
+    out = table(spark, d, "conversations").select("conv_id", "turn", F.get(json_ops.relabel(seg, names), F.lit(0)).alias("s"))
+    return out.select("conv_id", "turn", "s.speaker", F.posexplode("s.words").alias("pos", "w")).select("conv_id", "turn", "speaker", "pos", c("w.speaker").alias("word_speaker"), c("w.word").alias("word"))
+
+
 _PEOPLE = lambda: F.array(F.struct(c("language").alias("participantId"), F.when(c("id") % 2 == 0, c("full_name")).alias("name")), F.struct(F.lit("nl").alias("participantId"), F.lit("Last").alias("name")))
 project("k15_names_by_id", "users", "id", {"x": (lambda: F.coalesce(F.try_element_at(json_ops.names_by_id(_PEOPLE()), c("language")), F.lit("?")), "CASE WHEN language = 'nl' THEN 'Last' WHEN id % 2 = 0 THEN full_name ELSE language END")})
 project("k16_only_keys", "events", "event_id", {"x": (lambda: F.to_json(json_ops.only_keys(_K(), ["c", "z"])), "'{\"c\":\"' || event_type || '\"}'")})

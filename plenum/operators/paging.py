@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plenum.sources.folders import shared_folder
+
 MOST = 100
 
 
@@ -19,6 +21,21 @@ def top(rows: DataFrame, order: list, n: int) -> DataFrame:
     return rows.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
+def places(rows: DataFrame, order: list) -> DataFrame:
+    """All rows in their order, with their `place`, from 1; `order` has to tell any two rows apart.
+
+    Ranges of rows are sorted and numbered each in a task of its own, and the sizes of the ranges before it are added.
+    The ranges are written to the shared folder, as their bounds come from a sample that must not be drawn twice.
+    """
+    shared_folder(rows.sparkSession)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # one row for each range
+    starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = dealt.withColumn("_inside", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return inside.join(F.broadcast(starts), "_range").withColumn("place", F.col("_before") + F.col("_inside")).drop("_range", "_before", "_inside").orderBy("place")
+
+
 def page(rows: DataFrame, order: list, number: int, size: int = 20) -> DataFrame:
     """Page `number` (from 1) of at most MOST rows, with `total`: how many rows there are."""
     size = min(size, MOST)

@@ -296,11 +296,21 @@ def g1(spark, d):
     return paging.top(entity(spark, d, "rooms"), ["name", "id"], 100).select("id", F.col("place").cast("long").alias("place"))
 
 
+@query("g1_default_order_all", with_views("rooms", "SELECT id, row_number() OVER (ORDER BY name, id) AS place FROM rooms"))
+def g1_all(spark, d):
+    return paging.places(entity(spark, d, "rooms").select("id", "name"), ["name", "id"]).select("id", "place")
+
+
 @query("g2_chosen_order", with_views("files", "SELECT id, row_number() OVER (ORDER BY title DESC, id) AS place FROM files ORDER BY title DESC, id LIMIT 20"))
 def g2(spark, d):
     return paging.top(entity(spark, d, "files"), paging.ordering("-title,unknown", ("created_hour", "updated_hour", "title"), "-updated_hour"), 20).select("id", F.col("place").cast("long").alias("place"))
 
 
+@query("g2_chosen_order_all", with_views("files", "SELECT id, row_number() OVER (ORDER BY title DESC, id) AS place FROM files"))
+def g2_all(spark, d):
+    return paging.places(entity(spark, d, "files").select("id", "title"), paging.ordering("-title,unknown", ("created_hour", "updated_hour", "title"), "-updated_hour")).select("id", "place")
+
+
 @query("g3_page_with_count", with_views("rooms", "SELECT id, (SELECT count(*) FROM rooms) AS total FROM rooms ORDER BY name, id LIMIT 20 OFFSET 40"))
 def g3(spark, d):
     return paging.page(entity(spark, d, "rooms"), ["name", "id"], 3, 20).select("id", "total")
@@ -320,24 +330,47 @@ def g5(spark, d):
     return paging.top(_waiting(spark, d), [F.col("entered_at").desc(), F.col("event_id").asc()], 50).select("event_id", F.col("place").cast("long").alias("place"))
 
 
+@query("g5_waiting_list_desc_all", with_views("meeting", "SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS place FROM meeting WHERE type = 'chat_received'"))
+def g5_all(spark, d):
+    return paging.places(_waiting(spark, d), [F.col("entered_at").desc(), F.col("event_id").asc()]).select("event_id", "place")
+
+
 @query("g6_waiting_list_asc", with_views("meeting", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS place FROM meeting WHERE type = 'chat_received' ORDER BY ts, event_id LIMIT 50"))
 def g6(spark, d):
     rows = _waiting(spark, d).withColumn("_at", F.try_to_timestamp("entered_at"))
     return paging.top(rows, ["_at", "event_id"], 50).select("event_id", F.col("place").cast("long").alias("place"))
 
 
+@query("g6_waiting_list_asc_all", with_views("meeting", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS place FROM meeting WHERE type = 'chat_received'"))
+def g6_all(spark, d):
+    rows = _waiting(spark, d).withColumn("_at", F.try_to_timestamp("entered_at"))
+    return paging.places(rows, ["_at", "event_id"]).select("event_id", "place")
+
+
 @query("g7_invalid_last", with_views("meeting", "SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 3 > 0 THEN ts END NULLS LAST, event_id) AS place FROM meeting ORDER BY 2 LIMIT 700"))
 def g7(spark, d):
     raw = entity(spark, d, "meeting").select("event_id", F.when(F.col("event_id") % 3 > 0, F.col("ts").cast("string")).otherwise("not a time").alias("raised"))
     return paging.top(raw, [F.try_to_timestamp("raised").asc_nulls_last(), F.col("event_id").asc()], 700).select("event_id", F.col("place").cast("long").alias("place"))
 
 
+@query("g7_invalid_last_all", with_views("meeting", "SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 3 > 0 THEN ts END NULLS LAST, event_id) AS place FROM meeting"))
+def g7_all(spark, d):
+    raw = entity(spark, d, "meeting").select("event_id", F.when(F.col("event_id") % 3 > 0, F.col("ts").cast("string")).otherwise("not a time").alias("raised"))
+    return paging.places(raw, [F.try_to_timestamp("raised").asc_nulls_last(), F.col("event_id").asc()]).select("event_id", "place")
+
+
 @query("g8_pinned_first", with_views("users", "SELECT id, row_number() OVER (ORDER BY CASE WHEN id = 42 THEN 0 ELSE 1 END, coalesce(nullif(email, ''), full_name), id) AS place FROM users ORDER BY 2 LIMIT 50"))
 def g8(spark, d):
     label = F.coalesce(F.nullif("email", F.lit("")), "full_name")
     return paging.top(entity(spark, d, "users"), [(F.col("id") == 42).desc(), label.asc(), F.col("id").asc()], 50).select("id", F.col("place").cast("long").alias("place"))
 
 
+@query("g8_pinned_first_all", with_views("users", "SELECT id, row_number() OVER (ORDER BY CASE WHEN id = 42 THEN 0 ELSE 1 END, coalesce(nullif(email, ''), full_name), id) AS place FROM users"))
+def g8_all(spark, d):
+    label = F.coalesce(F.nullif("email", F.lit("")), "full_name")
+    return paging.places(entity(spark, d, "users").select("id", "email", "full_name"), [(F.col("id") == 42).desc(), label.asc(), F.col("id").asc()]).select("id", "place")
+
+
 @query("g9_two_level_sort", with_views("meeting", "SELECT event_id, row_number() OVER (PARTITION BY day ORDER BY type, event_id) AS place FROM meeting"))
 def g9(spark, d):
     by = Window.partitionBy("day").orderBy("type", "event_id")

@@ -1,5 +1,11 @@
 """Queries that do the whole job, on tables that show what a cut would lose."""
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from plenum.operators import paging
 from plenum.plans import registry
 
 
@@ -11,3 +17,15 @@ def test_whole_text_is_replaced_and_relabelled(spark, tmp_path):
     words = registry.QUERIES["k14_relabel_words"](spark, str(tmp_path)).collect()
     assert [r.word for r in sorted((r for r in words if r.turn == 0), key=lambda r: r.pos)] == long.split(" ")
     assert {(r.turn, r.speaker, r.word_speaker) for r in words} == {(0, "Ada", "Ada"), (1, "assistant", "assistant")}
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_every_row_has_its_place(spark, parts):
+    rng = random.Random(5)
+    values = [(k, rng.choice([None, 1, 2, rng.randint(3, 500)])) for k in range(2000)]
+    rows = spark.createDataFrame(values, "id long, at int").repartition(parts)
+    got = paging.places(rows, [F.col("at").asc_nulls_last(), F.col("id").asc()]).collect()
+    want = sorted(values, key=lambda r: (r[1] is None, r[1] or 0, r[0]))
+    assert [r.id for r in got] == [k for k, _ in want]
+    assert [r.place for r in got] == list(range(1, 2001))
+    assert paging.places(rows.limit(0), ["id"]).collect() == []

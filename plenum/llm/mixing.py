@@ -21,6 +21,8 @@ N_SHARDS = 64
 BLOCK, BLOCKS = 256, 4096
 #: Rows of a group that one task ranks; also the largest number of sources that is broadcast.
 GROUP = 4096
+#: Words of mixed text that one task sorts.
+SORTED = 4 << 20
 SEED = 20
 
 
@@ -168,26 +170,41 @@ def mix(rows: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
     return runs.join(taken, ["rank", "_block"]).select("_row", "pass", "word_start", "words", "shard", "mix_order")
 
 
+def in_mixed_order(df: DataFrame, words: int, n_shards: int, order: list[str]) -> DataFrame:
+    """`df` dealt by shard and, within a shard, by ranges of mix_order (a hash, so ranges are even), and sorted: its partitions follow each other in the mixed order."""
+    parts = max(1, -(-words // (n_shards * SORTED)))
+    part = F.least(F.floor((F.col("__order").cast("double") / F.lit(2.0**64) + 0.5) * parts), F.lit(parts - 1))
+    return df.repartitionById(n_shards * parts, (F.col("__shard") * parts + part).cast("int")).sortWithinPartitions("__shard", *order)
+
+
 def mix_texts(df: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataFrame:
-    """The mixed rows of `df` (columns text, source, n_chars and any others): a row for each pass that takes words of it.
+    """The mixed rows of `df` (columns text, source, n_chars and any others): a row for each run of words that the mix takes.
 
-    Its text keeps the words taken in that pass, in their order, with the white space before them; a row whose words
-    are all taken keeps its text as it is. Rows without words are dropped: no mix can take words of them.
+    Rows come by shard and, within a shard, in the mixed order: a partition holds rows of one shard only. A run's text
+    has the white space before its words, and a row's last words also have what is behind them. Rows without words are
+    dropped: no mix can take words of them.
     """
     numbered = df.withColumn("__row", F.monotonically_increasing_id())
     rows = measure(df, keep=())
-    pieces = mix(rows, plan_sources(rows, n_shards, seed), seed).groupBy("_row", "pass").agg(F.sort_array(F.collect_list(F.struct("word_start", "words"))).alias("__runs"), F.sum("words").alias("__taken")).select(F.col("_row").alias("__row"), "__runs", "__taken")
-    token = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = let(token, lambda t: F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice(t, (r["word_start"] + 1).cast("int"), r["words"].cast("int")))), ""))
-    mixed = numbered.join(pieces, "__row").withColumn("text", F.when(F.col("__taken") >= n_words(F.col("text")), F.col("text")).otherwise(cut))
-    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in df.columns])
+    sources = plan_sources(rows, n_shards, seed)
+    n_taken = sources.agg(F.sum(F.col("quota") * F.col("block"))).first()[0] or 0
+    run = F.struct(F.col("shard").alias("__shard"), F.col("mix_order").alias("__order"), F.col("pass").alias("__pass"), "word_start", "words")
+    pieces = mix(rows, sources, seed).groupBy("_row").agg(F.collect_list(run).alias("__runs")).select(F.col("_row").alias("__row"), "__runs")
+    token = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]++\z)?"), F.lit(0))
+    cut = lambda t, r: F.array_join(F.slice(t, (r["word_start"] + 1).cast("int"), r["words"].cast("int")), "")
+    texts = let(token, lambda t: F.transform("__runs", lambda r: F.struct(r["__shard"].alias("__shard"), r["__order"].alias("__order"), r["__pass"].alias("__pass"), r["word_start"].alias("__start"), cut(t, r).alias("__text"))))
+    mixed = numbered.join(pieces, "__row").withColumn("__run", F.explode(texts)).drop("__runs", "text").select("*", "__run.*").drop("__run").withColumnRenamed("__text", "text")
+    ordered = in_mixed_order(mixed, n_taken, n_shards, ["__order", "__row", "__pass", "__start"])
+    return ordered.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """How many words of each document the mix takes, and the runs that each shard takes of it, in the mixed order."""
     rows = measure(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
     sources = plan_sources(rows)
-    taken = mix(rows, sources).groupBy("_row").agg(F.sum("words").alias("_taken"))
+    run = F.struct("shard", "mix_order", "pass", "word_start", "words")
+    taken = mix(rows, sources).groupBy("_row").agg(F.sum("words").alias("_taken"), F.sort_array(F.collect_list(run)).alias("_runs"))
     plan = _small(sources.select(F.col("source").alias("_s"), "source_size", "target"))
     out = rows.join(plan, F.col("_s").eqNullSafe(F.col("source"))).join(taken, "_row", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+    none = F.array().cast("array<struct<shard int, mix_order bigint, pass int, word_start bigint, words bigint>>")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("_runs", none).alias("runs"))

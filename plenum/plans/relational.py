@@ -76,6 +76,17 @@ def e8(spark, d):
     wanted = users.where("id % 5 = 0").select(F.col("id").alias("ask"), F.when(F.col("id") % 2 == 0, F.col("sub")).alias("sub"), F.lower("email").alias("email"))
     return dedupe_lookup(wanted, users)
 
+@query("e8_fallback_lookup_all", with_views("users", """
+, wanted AS (SELECT id AS ask, CASE WHEN id % 2 = 0 THEN sub END AS sub, lower(email) AS email FROM users),
+by_mail AS (SELECT lower(email) AS email, min(id) AS id, count(*) AS n FROM users WHERE email <> '' GROUP BY 1)
+SELECT w.ask, coalesce(s.id, CASE WHEN m.n = 1 THEN m.id END) AS found, s.id IS NULL AND coalesce(m.n, 0) > 1 AS ambiguous
+FROM wanted w LEFT JOIN users s ON s.sub = w.sub LEFT JOIN by_mail m ON m.email = w.email"""))
+def e8_all(spark, d):
+    users = entity(spark, d, "users")
+    wanted = users.select(F.col("id").alias("ask"), F.when(F.col("id") % 2 == 0, F.col("sub")).alias("sub"), F.lower("email").alias("email"))
+    return dedupe_lookup(wanted, users)
+
+
 
 def dedupe_lookup(wanted, users):
     """By `sub`, else by e-mail in any case; several of that e-mail are an error."""

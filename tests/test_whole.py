@@ -29,3 +29,11 @@ def test_every_row_has_its_place(spark, parts):
     assert [r.id for r in got] == [k for k, _ in want]
     assert [r.place for r in got] == list(range(1, 2001))
     assert paging.places(rows.limit(0), ["id"]).collect() == []
+
+
+def test_every_user_is_looked_up(spark, tmp_path):
+    users = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    spark.createDataFrame([(k, f"C{k}", 1, 0.0, "M") for k in range(1, 9)], users).write.parquet(str(tmp_path / "customer.parquet"))
+    got = registry.QUERIES["e8_fallback_lookup_all"](spark, str(tmp_path)).collect()
+    assert sorted(r.ask for r in got) == list(range(1, 9))
+    assert {r.ask: r.found for r in got if r.ask in (2, 4, 8)} == {2: 2, 4: 4, 8: 8}

@@ -1,11 +1,14 @@
 """Keyed event histories as state: the batch twins of the streaming operators.
 
-A history is folded in order; the state is a few scalars, so the fold is an aggregate over a key's sorted events.
-Keys are rooms, recordings or tokens, whose histories are short by nature; hot logs go through windows instead.
+A history is folded in order; the state is a few scalars. Recordings, whose histories are short by nature, are folded
+as an aggregate over a key's sorted events; lobby entries are walked in sorted batches, and hot logs go through windows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,20 +48,42 @@ def lobby(events: DataFrame, keys: list[str], order: list[str], action: str, at:
     """(keys, status): what a participant's lobby entry is at `as_of` (seconds).
 
     request: a new or expired entry waits, a waiting one is refreshed; accept and deny act on an entry that waits. An
-    entry that outlives its time is unknown.
+    entry that outlives its time is unknown. Partitions by key, sorts within partitions and streams: no key has to fit in memory.
     """
-    life = lambda s: F.when(s == "accepted", ACCEPTED).when(s == "denied", DENIED).otherwise(WAITING)
-
-    def step(acc: Column, h: Column) -> Column:
-        live = F.when(acc["until"] > h[at], acc["status"]).otherwise("unknown")
-        new = F.when((h[action] == "request") & live.isin("unknown", "waiting"), "waiting").when((h[action] == "accept") & (live == "waiting"), "accepted").when((h[action] == "deny") & (live == "waiting"), "denied").otherwise(live)
-        fresh = (new != live) | ((h[action] == "request") & (new == "waiting"))
-        return F.struct(new.alias("status"), F.when(fresh, h[at] + life(new)).otherwise(acc["until"]).cast("long").alias("until"))
-
-    rows = events.withColumn("_key", F.struct(*keys))
-    zero = F.struct(F.lit("unknown").alias("status"), F.lit(0).cast("long").alias("until"))
-    folded = _history(rows, "_key", order, [action, at]).select("_key.*", F.aggregate("history", zero, step).alias("s"))
-    return folded.select(*keys, F.when(F.col("s.until") > as_of, F.col("s.status")).otherwise("unknown").alias("status"))
+    kinds = dict(events.dtypes)
+    lives = {"accepted": ACCEPTED, "denied": DENIED}
+
+    def step(status: str, until: int | None, asked: str | None, now: int | None) -> tuple[str, int | None]:
+        live = status if until is not None and now is not None and until > now else "unknown"
+        new = live
+        if asked == "request" and live in ("unknown", "waiting"):
+            new = "waiting"
+        elif asked in ("accept", "deny") and live == "waiting":
+            new = "accepted" if asked == "accept" else "denied"
+        if new == live and not (asked == "request" and new == "waiting"):
+            return new, until
+        return new, None if now is None else int(now + lives.get(new, WAITING))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, status, until = None, "unknown", 0
+        schema = None
+        for batch in batches:
+            schema = schema or pa.schema([*[batch.schema.field(k) for k in keys], ("status", pa.string()), ("until", pa.int64())])
+            out = []
+            for *k, asked, now in zip(*[batch.column(name).to_pylist() for name in (*keys, action, at)], strict=True):
+                if k != key:
+                    if key is not None:
+                        out.append((*key, status, until))
+                    key, status, until = k, "unknown", 0
+                status, until = step(status, until, asked, now)
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+        if key is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (*key, status, until), strict=True))], schema)
+
+    ties = [x for x in (action, at) if x not in order]
+    dealt = events.select(*dict.fromkeys([*keys, *order, action, at])).repartition(*keys).sortWithinPartitions(*keys, *order, *ties)
+    out = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", status string, until long"
+    return dealt.mapInArrow(walk, out).select(*keys, F.when(F.col("until") > as_of, F.col("status")).otherwise("unknown").alias("status"))
 
 
 def present(events: DataFrame, room: str, who: str, kind: str, at: str, as_of: Column, life: int = PRESENT) -> DataFrame:

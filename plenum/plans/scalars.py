@@ -177,16 +177,14 @@ query("d19_group_text", "SELECT conv_id, string_agg('- [ ] ' || role, chr(10) OR
 
 @query("d20_list_flags", "SELECT user_id, bool_or(event_type = 'view') AS has_view, bool_or(event_type = 'error') AS has_error, arg_min(event_id, event_id) FILTER (event_type = 'click') AS first_click FROM events GROUP BY user_id")
 def d20(spark, d):
-    items = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("items"))
-    has = lambda kind: F.exists("items", lambda x: x["event_type"] == kind)
-    return items.select("user_id", has("view").alias("has_view"), has("error").alias("has_error"), F.get(F.filter("items", lambda x: x["event_type"] == "click"), F.lit(0))["event_id"].alias("first_click"))
+    kind = c("event_type")
+    return table(spark, d, "events").groupBy("user_id").agg(F.bool_or(kind == "view").alias("has_view"), F.bool_or(kind == "error").alias("has_error"), F.min(F.when(kind == "click", c("event_id"))).alias("first_click"))
 
 
 @query("d21_every_some", "SELECT user_id, bool_and(value > 1) AS every_above, bool_or(event_type = 'view') AND bool_or(event_type = 'click') AS all_kinds FROM events GROUP BY user_id")
 def d21(spark, d):
-    items = table(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.struct("value", "event_type")).alias("items"))
-    kinds = F.array(F.lit("view"), F.lit("click"))
-    return items.select("user_id", F.forall("items", lambda x: x["value"] > 1).alias("every_above"), F.forall(kinds, lambda k: F.exists("items", lambda x: x["event_type"] == k)).alias("all_kinds"))
+    has = lambda kind: F.bool_or(c("event_type") == kind)
+    return table(spark, d, "events").groupBy("user_id").agg(F.bool_and(c("value") > 1).alias("every_above"), (has("view") & has("click")).alias("all_kinds"))
 
 
 # Text, dates and numbers

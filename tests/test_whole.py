@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plenum.operators import paging
+from plenum.operators import lifecycle, paging
 from plenum.plans import registry
 
 
@@ -37,3 +37,16 @@ def test_every_user_is_looked_up(spark, tmp_path):
     got = registry.QUERIES["e8_fallback_lookup_all"](spark, str(tmp_path)).collect()
     assert sorted(r.ask for r in got) == list(range(1, 9))
     assert {r.ask: r.found for r in got if r.ask in (2, 4, 8)} == {2: 2, 4: 4, 8: 8}
+
+
+def test_no_history_is_gathered(spark, tmp_path):
+    calls = [("r", "u", n, "request", n * 5) for n in range(30_000)] + [("r", "u", 30_000, "accept", 150_000), ("r", None, 1, "request", 0), ("r", None, 2, "deny", 1), (None, "u", 1, "accept", 0)]
+    rows = spark.createDataFrame(calls, "room string, who string, n int, action string, at long").repartition(3)
+    lobby = lifecycle.lobby(rows, ["room", "who"], ["n"], "action", "at", F.lit(150_001))
+    assert {(r.room, r.who): r.status for r in lobby.collect()} == {("r", "u"): "accepted", ("r", None): "unknown", (None, "u"): "unknown"}
+    events = [(1, 7, "view", 2.0), (2, 7, "click", 3.0), (3, 8, "error", 0.5)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    plans = [lobby] + [registry.QUERIES[q](spark, str(tmp_path)) for q in ("d20_list_flags", "d21_every_some")]
+    assert all("collect_list" not in p._jdf.queryExecution().toString() for p in plans)
+    assert sorted(tuple(r) for r in plans[1].collect()) == [(7, True, False, 2), (8, False, True, None)]
+    assert sorted(tuple(r) for r in plans[2].collect()) == [(7, True, True), (8, False, False)]

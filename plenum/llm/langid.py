@@ -13,14 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WINDOW = 128
 WIDTHS, FILTERS = (2, 3, 4), 16
 REACH = max(WIDTHS) - 1
-#: Labelled texts of a language and windows of a text that the network is trained on, about; and the most languages.
-TEXTS, WINDOWS, MOST_LANGS = 400, 4, 1000
+#: The most texts of a language, windows of a text, languages and windows in all that the network is trained on.
+TEXTS, WINDOWS, MOST_LANGS, MOST_WINDOWS = 400, 4, 1000, 200_000
 EPOCHS, BATCH, RATE, SEED = 6, 128, 0.01, 1
 #: Bytes and windows that are worked on at once.
 BYTES, ROWS = 1 << 20, 64
@@ -154,23 +154,34 @@ def _predict(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
 
+def sample(rows: DataFrame) -> list[tuple[str, str]]:
+    """(lang, window): WINDOWS windows of each of TEXTS different texts of a language (all, if it has fewer), those with the least hashes.
+
+    A text counts once for a language, however many rows hold it. The MOST_LANGS languages with the most rows are
+    learned, ties by name; if they are so many that MOST_WINDOWS is exceeded, each gives fewer texts.
+    """
+    rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", F.xxhash64("text", F.lit(SEED)).alias("_hash"))
+    langs = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("_hash").alias("different"))
+    langs = langs.orderBy(F.col("n").desc(), "lang").limit(MOST_LANGS).collect()
+    if not langs:
+        return []
+    texts = max(1, min(TEXTS, MOST_WINDOWS // (WINDOWS * len(langs))))
+    # Hashes below a language's share are some two times the texts that are asked for, so that little is sorted.
+    share = F.broadcast(rows.sparkSession.createDataFrame([(r.lang, min(1.0, 2 * (texts + 20) / max(r.different, 1))) for r in langs], "lang string, _share double"))
+    u = F.pmod("_hash", F.lit(1 << 40)) / float(1 << 40)
+    drawn = rows.join(share, "lang").where(u < F.col("_share")).dropDuplicates(["lang", "_hash"])
+    least = drawn.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("_hash", F.lit(1 << 40)), "_hash"))).where(F.col("_n") <= texts)
+    start = F.pmod(F.xxhash64("text", "_k"), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1
+    windows = least.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(WINDOWS - 1)))).select("lang", F.substring("text", start.cast("int"), F.lit(WINDOW + REACH)).alias("w"))
+    return sorted((r.lang, r.w) for r in windows.collect())  # MOST_WINDOWS at most, or a window for each of MOST_LANGS
+
+
 def fit(rows: DataFrame) -> Network:
-    """A network for the languages of `rows` (text, lang), from about TEXTS texts of each and WINDOWS windows of each text.
+    """A network for the languages of `rows` (text, lang), from the windows of `sample` that hold a letter.
 
     Rows with a null text or language are not learned from; without any the network knows no language.
     """
-    rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()
-    if len(counts) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
-    if not counts:
-        return Network([], [], np.zeros(0), np.zeros(0))
-    share = F.broadcast(rows.sparkSession.createDataFrame([(c.lang, TEXTS / c.n) for c in counts], "lang string, _share double"))
-    u = (F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    some = rows.join(share, "lang").where(u < F.col("_share")).select("lang", "text", F.explode(F.sequence(F.lit(0), F.lit(WINDOWS - 1))).alias("_k"))
-    start = F.pmod(F.xxhash64("text", "_k"), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1
-    pairs = some.select("lang", F.substring("text", start.cast("int"), F.lit(WINDOW + REACH)).alias("w")).limit(2 * TEXTS * WINDOWS * len(counts)).collect()
-    pairs = sorted((r.lang, r.w) for r in pairs if any(map(str.isalpha, r.w)))
+    pairs = [(lang, w) for lang, w in sample(rows) if any(map(str.isalpha, w))]
     if not pairs:
         return Network([], [], np.zeros(0), np.zeros(0))
     return train([w for _, w in pairs], [lang for lang, _ in pairs])
@@ -191,7 +202,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The predicted language of every document; those with held_out were not learned from."""
+    """The predicted language of every document; those with held_out, and those without doc_id, were not learned from.
+
+    Repeated rows stay rows of their own, with equal predictions; columns besides doc_id, text and lang don't matter.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
     net = fit(docs.where(~F.col("held_out") & F.col("doc_id").isNotNull()))
     return predict(docs, net, ["doc_id long", "held_out boolean"])

@@ -1,8 +1,13 @@
-"""Where intermediate results are kept."""
+"""Where intermediate results are kept, and how rows are told apart."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import contextlib
+import io
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from plenum.sources.folders import shared_folder
 
@@ -11,3 +16,20 @@ def settled(df: DataFrame) -> DataFrame:
     """`df`, worked out and written to the shared folder: what is read later doesn't depend on the executors that made it."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """`df` with each row's place in its input as the column `name`.
+
+    Rows of files come in the same order each time they are read. After a shuffle they need not, so that an input whose
+    plan has one is written first.
+    """
+    plan = io.StringIO()
+    with contextlib.redirect_stdout(plan):
+        df.explain()
+    return (settled(df) if "Exchange" in plan.getvalue() else df).withColumn(name, F.monotonically_increasing_id())
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with `value` worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))

@@ -57,19 +57,20 @@ def shard_rows(df: DataFrame, keys: list[str], shards: list[str], table_size: in
     shard can be that large, so the list of hot keys is bounded by the number of shards.
 
     Nulls are keys like any other (null and '' differ); equal rows go to the same shard; an empty table stays
-    empty. Columns of `df` that are called `slot` or `shard` are replaced; others pass, whatever their names.
+    empty. Columns of `df` that are called `slot` or `shard` are replaced (they may be keys); others pass, whatever
+    their names (two leading underscores are reserved).
     """
     part = lambda c: F.when(F.col(f"`{c}`").isNull(), "n").otherwise(F.concat(F.lit("v"), F.col(f"`{c}`").cast("string")))
-    key = F.concat_ws("\x1f", *map(part, keys))
-    rows = df.drop("slot", "shard").withColumn("_shard_key", key)
+    written = lambda columns: F.concat_ws("\x1f", *map(part, columns))
+    rows = df.withColumn("__key", written(keys))
     if spread_by:
         n = rows.count()
-        hot = rows.groupBy("_shard_key").agg(F.count("*").alias("_key_rows")).where((F.col("_key_rows") > 1) & (F.col("_key_rows") * len(shards) > n))
-        split = F.ceil(F.col("_key_rows") * len(shards) / F.lit(max(n, 1)))
-        deal = F.pmod(hash60(F.concat_ws("\x1f", *map(part, spread_by))), split)
-        rows = rows.join(F.broadcast(hot), "_shard_key", "left").withColumn("_shard_key", F.when(F.col("_key_rows").isNull(), F.col("_shard_key")).otherwise(F.concat_ws("\x1f", "_shard_key", deal.cast("string")))).drop("_key_rows")
-    rows = rows.withColumn("slot", F.pmod(hash60(F.col("_shard_key")), F.lit(table_size))).drop("_shard_key")
-    return rows.join(F.broadcast(lookup_table(df.sparkSession, shards, table_size)), "slot")
+        hot = rows.groupBy("__key").agg(F.count("*").alias("__rows")).where((F.col("__rows") > 1) & (F.col("__rows") * len(shards) > n))
+        deal = F.pmod(hash60(written(spread_by)), F.ceil(F.col("__rows") * len(shards) / F.lit(max(n, 1))))
+        rows = rows.join(F.broadcast(hot), "__key", "left").withColumn("__key", F.when(F.col("__rows").isNull(), F.col("__key")).otherwise(F.concat_ws("\x1f", "__key", deal.cast("string"))))
+    rows = rows.withColumn("__slot", F.pmod(hash60(F.col("__key")), F.lit(table_size)))
+    placed = rows.join(F.broadcast(lookup_table(df.sparkSession, shards, table_size).toDF("__slot", "__shard")), "__slot")
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")], F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))
 
 
 def shard_names(n: int) -> list[str]:

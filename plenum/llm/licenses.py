@@ -9,10 +9,13 @@ merged span counts if it covers enough of its template. Short phrases have to ma
 from __future__ import annotations
 
 from dataclasses import dataclass
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plenum.llm.lineage import numbered
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHORT, LONG = 2, 4
 DRIFT = 2
@@ -42,7 +45,8 @@ TEMPLATES = (
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """The words of a text with A-Z, and no other letters, lower-cased."""
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase), F.lit(WORD), F.lit(0))
 
 
 def _pairs(hashes: Column, apart: int) -> Column:
@@ -73,27 +77,30 @@ def scan(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str =
     """A row for each row of `df`: the columns `keep`, `n_words`, and `spans`: array<struct<label, phrase, start, votes, cover>>
     of the verified spans; `start` is a word's place, from 0.
 
-    A null or empty text has no words and no spans. Repeated rows stay rows of their own. Rows are keyed by their
-    place in the input, so the input has to come in the same order each time, as files do. One shuffle, of hits only.
+    A null or empty text has no words and no spans. Repeated rows stay rows of their own. Kept columns may have any
+    names but `n_words` and `spans` (two leading underscores are reserved). Rows are keyed by their place in the
+    input. One shuffle, of hits only.
     """
-    rows = with_grams(df.select(*[F.col(f"`{c}`") for c in keep], F.monotonically_increasing_id().alias("_row"), words(F.col(f"`{text}`")).alias("_words")))
+    names = [f"__keep{k}" for k in range(len(keep))]
+    rows = numbered(df, "__row").select(*[F.col(f"`{c}`").alias(name) for c, name in zip(keep, names, strict=True)], "__row", words(F.col(f"`{text}`")).alias("_words")).transform(with_grams)
     head = F.array(F.lit(0).cast("long"))
-    each = rows.select(*keep, "_row", "_words", F.size("_words").alias("_n"), F.posexplode(F.concat(head, F.col("_short"), F.col("_long"))).alias("_at", "gram"))
+    each = rows.select(*names, "__row", "_words", F.size("_words").alias("_n"), F.posexplode(F.concat(head, F.col("_short"), F.col("_long"))).alias("_at", "gram"))
     long = F.col("_at") >= F.greatest(F.col("_n"), F.lit(1))  # after the head come n - 1 short grams
     pos = F.when(F.col("_at") == 0, 0).when(long, F.col("_at") - F.greatest(F.col("_n"), F.lit(1))).otherwise(F.col("_at") - 1)
     size = F.when(F.col("_at") == 0, 0).when(long, LONG).otherwise(SHORT)
     hits = each.join(F.broadcast(positions(df.sparkSession, templates)), "gram").withColumn("_pos", pos)
     hits = hits.where((F.col("k") == size) & ((F.col("k") == 0) | (F.expr("slice(_words, _pos + 1, k)") == F.col("own"))))
-    key = [*keep, "_row", "_n", "tid", "label", "phrase", "of"]
-    votes = hits.select(*key, (F.col("_pos") - F.col("tpos")).alias("diag"), "_pos").repartition("_row").groupBy(*key, "diag").agg(F.count("*").alias("votes"), F.min("_pos").alias("start"))
-    by = Window.partitionBy("_row", "tid").orderBy("diag")
+    key = [*names, "__row", "_n", "tid", "label", "phrase", "of"]
+    votes = hits.select(*key, (F.col("_pos") - F.col("tpos")).alias("diag"), "_pos").repartition("__row").groupBy(*key, "diag").agg(F.count("*").alias("votes"), F.min("_pos").alias("start"))
+    by = Window.partitionBy("__row", "tid").orderBy("diag")
     apart = F.coalesce((F.col("diag") - F.lag("diag").over(by) > DRIFT) | F.col("phrase"), F.lit(True))
     runs = votes.withColumn("_new", apart.cast("int")).withColumn("_run", F.sum("_new").over(by))
     spans = runs.groupBy(*key, "_run").agg(F.sum("votes").alias("votes"), F.min("start").alias("start"))
     cover = F.least(F.lit(1.0), F.col("votes") / F.col("of"))
     good = (F.col("tid") >= 0) & F.when(F.col("phrase"), F.col("votes") == F.col("of")).otherwise(cover >= COVER)
     span = F.when(good, F.struct("label", "phrase", F.col("start").cast("long").alias("start"), "votes", cover.alias("cover")))
-    return spans.groupBy(*keep, "_row", "_n").agg(F.sort_array(F.collect_list(span)).alias("spans")).select(*keep, F.col("_n").cast("long").alias("n_words"), "spans")
+    found = spans.groupBy(*names, "__row", "_n").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    return found.select(*[F.col(name).alias(c) for c, name in zip(keep, names, strict=True)], F.col("_n").cast("long").alias("n_words"), "spans")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

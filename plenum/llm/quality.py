@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm.lineage import settled
+from plenum.llm.lineage import numbered, settled
 
 BUCKETS = 1 << 16
 #: The most labelled documents that the target model and the cut are fitted on.
@@ -92,9 +92,8 @@ def _score(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.
 
 def labelled(labels: DataFrame, most: int = LABELLED) -> DataFrame:
     """(doc_id, quality): at most `most` labelled ids, those with the least hashes; an id with several labels counts as good if one says so."""
-    some = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    some = some.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "quality").limit(most)
-    return some.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    each = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    return each.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(most)
 
 
 def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
@@ -114,10 +113,12 @@ def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
 def cut(scored: DataFrame, sample: DataFrame) -> float:
     """The log weight that best parts good from bad among the labelled sample, errors of both kinds weighing alike as rates.
 
-    Of the cuts whose error is within SLACK of the least it is the middle of the widest gap.
+    A label counts once, with the mean weight of the rows that share its id. Of the cuts whose error is within SLACK
+    of the least it is the middle of the widest gap.
     Without bad ones it is the least weight of the good, without good ones nothing is cut.
     """
-    pairs = scored.join(F.broadcast(sample), "doc_id").select("log_weight", "quality").limit(2 * LABELLED).collect()
+    known = scored.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.avg("log_weight"), F.max("quality"))
+    pairs = sorted((w, q) for _, w, q in known.collect())  # a row for each id of the sample at most
     w, good = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs], bool)
     if not good.any():
         return float("-inf")
@@ -154,14 +155,13 @@ def kth_largest(df: DataFrame, col: str, k: int) -> tuple[float, int]:
 def weigh(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[DataFrame, int]:
     """((_row, doc_id, log_weight, key) of every document, k). Written to the checkpoint folder.
 
-    `_row` is a row's place in its input, which has to come in the same order each time, as files do. A null or
-    empty text has no n-grams: its log weight is 0. Repeated rows are drawn one by one.
+    `_row` is a row's place in its input. A null or empty text has no n-grams: its log weight is 0. Repeated rows are drawn one by one.
     """
     sample = labelled(labels, most)
     sample = sample.transform(settled)
     ratio = log_ratios(docs, sample)
     u = (F.pmod(F.xxhash64(F.lit(SEED), "_row", "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "__row").select(F.col("__row").alias("_row"), "doc_id", "text")
     scored = rows.mapInArrow(lambda batches: _score(batches, ratio), "_row long, doc_id long, log_weight double")
     scored = scored.withColumn("key", F.col("log_weight") - F.log(-F.log(u))).transform(settled)
     return scored, scored.where(F.col("log_weight") >= cut(scored, sample)).count()
@@ -178,8 +178,8 @@ def draw(scored: DataFrame, k: int) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are drawn, with all their columns."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(draw(*weigh(docs, labels)).select(F.col("_row").alias("__row")), "__row").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = numbered(docs, "__row")
+    return rows.join(draw(*weigh(rows.drop("__row"), labels)).select(F.col("_row").alias("__row")), "__row").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plenum.llm.lineage import settled
+from plenum.llm.lineage import let, numbered, settled
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -51,11 +51,6 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return levels.withColumn("_first", level).withColumn("target", F.when(F.col("_full"), limit).otherwise(F.least(limit, F.col("_first._level") * F.col("weight")))).drop("_level", "_full", "_first")
 
 
-def let(value: Column, f) -> Column:
-    """f(value) with `value` worked out once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def uniform(*cols: Column) -> Column:
     return (F.pmod(F.xxhash64(*cols), F.lit(1 << 53)) + 0.5) / F.lit(float(1 << 53))
 
@@ -129,9 +124,12 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def measure(df: DataFrame, text: str = "text", source: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(_row, size, source, keep...) of every row, written to the checkpoint folder: the only pass over the texts."""
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{source}`").alias("source"), n_words(F.col(f"`{text}`")).alias("size"), F.monotonically_increasing_id().alias("_row"))
-    return rows.transform(settled)
+    """(_row, size, source, kept) of every row, written to the checkpoint folder: the only pass over the texts.
+
+    `kept` is a struct of the columns `keep`, whose names are free.
+    """
+    kept = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []
+    return numbered(df, "__row").select(*kept, F.col(f"`{source}`").alias("source"), n_words(F.col(f"`{text}`")).alias("size"), F.col("__row").alias("_row")).transform(settled)
 
 
 def plan_sources(rows: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataFrame:
@@ -184,8 +182,8 @@ def mix_texts(df: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> Data
     has the white space before its words, and a row's last words also have what is behind them. Rows without words are
     dropped: no mix can take words of them.
     """
-    numbered = df.withColumn("__row", F.monotonically_increasing_id())
-    rows = measure(df, keep=())
+    placed = numbered(df, "__row")
+    rows = measure(placed.drop("__row"), keep=())
     sources = plan_sources(rows, n_shards, seed)
     n_taken = sources.agg(F.sum(F.col("quota") * F.col("block"))).first()[0] or 0
     run = F.struct(F.col("shard").alias("__shard"), F.col("mix_order").alias("__order"), F.col("pass").alias("__pass"), "word_start", "words")
@@ -193,7 +191,7 @@ def mix_texts(df: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> Data
     token = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]++\z)?"), F.lit(0))
     cut = lambda t, r: F.array_join(F.slice(t, (r["word_start"] + 1).cast("int"), r["words"].cast("int")), "")
     texts = let(token, lambda t: F.transform("__runs", lambda r: F.struct(r["__shard"].alias("__shard"), r["__order"].alias("__order"), r["__pass"].alias("__pass"), r["word_start"].alias("__start"), cut(t, r).alias("__text"))))
-    mixed = numbered.join(pieces, "__row").withColumn("__run", F.explode(texts)).drop("__runs", "text").select("*", "__run.*").drop("__run").withColumnRenamed("__text", "text")
+    mixed = placed.join(pieces, "__row").withColumn("__run", F.explode(texts)).drop("__runs", "text").select("*", "__run.*").drop("__run").withColumnRenamed("__text", "text")
     ordered = in_mixed_order(mixed, n_taken, n_shards, ["__order", "__row", "__pass", "__start"])
     return ordered.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in df.columns])
 
@@ -207,4 +205,4 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = _small(sources.select(F.col("source").alias("_s"), "source_size", "target"))
     out = rows.join(plan, F.col("_s").eqNullSafe(F.col("source"))).join(taken, "_row", "left")
     none = F.array().cast("array<struct<shard int, mix_order bigint, pass int, word_start bigint, words bigint>>")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("_runs", none).alias("runs"))
+    return out.select(F.col("kept.doc_id").alias("doc_id"), "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("_runs", none).alias("runs"))

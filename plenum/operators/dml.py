@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plenum.sources.folders import kept
+
 #: Classes of recording statuses.
 STATUS = {
     "final": ("stopped", "saved", "aborted", "failed_to_start", "failed_to_stop", "notification_succeeded", "external_process_successful", "external_process_failed"),
@@ -68,13 +70,15 @@ def backfill_codes(rows: DataFrame, key: str, code: str, seed: int = 0) -> DataF
     """
     size = 10**DIGITS
     have = rows.where(F.col(code).isNotNull()).select(key, F.lpad(code, DIGITS, "0").alias(code))
-    want = rows.where(F.col(code).isNull()).select(key)
-    for attempt in range(8):  # each leaves a share of about rows / 10^10
+    want = kept(rows.where(F.col(code).isNull()).select(key))
+    if rows.count() > size // 2:
+        raise ValueError(f"codes of {DIGITS} digits are too scarce")
+    attempt = 0
+    while not want.isEmpty():  # half of the codes are free at least, so each attempt leaves half of those who ask or fewer
         drawn = want.withColumn(code, F.lpad(F.pmod(F.xxhash64(key, F.lit(seed + attempt)), F.lit(size)).cast("string"), DIGITS, "0"))
         free = drawn.join(have.select(code), code, "left_anti")
-        won = free.groupBy(code).agg(F.min(key).alias(key)).select(key, code)
-        have = have.unionByName(won)
-        want = want.join(won.select(key), key, "left_anti")
-        if want.isEmpty():
-            return have
-    raise RuntimeError("codes are too scarce")
+        won = kept(free.groupBy(code).agg(F.min(key).alias(key)).select(key, code))
+        have = kept(have.unionByName(won))
+        want = kept(want.join(won.select(key), key, "left_anti"))
+        attempt += 1
+    return have

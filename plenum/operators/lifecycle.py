@@ -103,6 +103,18 @@ def single_use(events: DataFrame, key: str, order: list[str], at: str, life: int
     return events.withColumn("outcome", outcome)
 
 
+def revoked_sessions(uses: DataFrame, session: str) -> DataFrame:
+    """(session, revoked) of the outcomes of `single_use`: a replay of one of its tokens revokes a session."""
+    return uses.groupBy(session).agg(F.bool_or(F.col("outcome") == "replay").alias("revoked"))
+
+
+def admissions(events: DataFrame, keys: list[str], order: list[str], joins: Column, leaves: Column) -> DataFrame:
+    """The joins with `admitted`: a join is turned away while its key is in, and admitted again once it has left. Other events don't matter."""
+    seq = Window.partitionBy(*keys).orderBy(*order)
+    own = events.withColumn("_join", F.coalesce(joins, F.lit(False))).where(F.col("_join") | F.coalesce(leaves, F.lit(False)))
+    return own.withColumn("admitted", ~F.coalesce(F.lag("_join").over(seq), F.lit(False))).where("_join").drop("_join")
+
+
 def read_and_clear(events: DataFrame, key: str, order: list[str], is_write: Column, at: str, life: int) -> DataFrame:
     """Reads with `hit`: the first read after a write, within `life` of it, gets the state; others find nothing."""
     seq = Window.partitionBy(key).orderBy(*order)

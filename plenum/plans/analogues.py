@@ -28,3 +28,8 @@ def with_views(names: str, body: str) -> str:
     """DuckDB SQL: `body` (which may begin with further ", x AS (...)" expressions and SELECT) after the named entities."""
     ctes = ",\n".join(f"{n} AS (SELECT {_VIEWS[n][1]} FROM {_VIEWS[n][0]})" for n in names.split())
     return f"WITH {ctes}{body if body.lstrip().startswith(',') else chr(10) + body}"
+
+
+def recursive(names: str, body: str) -> str:
+    """As `with_views`, for a body that walks its rows one by one."""
+    return with_views(names, body).replace("WITH ", "WITH RECURSIVE ", 1)

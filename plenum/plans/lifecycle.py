@@ -54,7 +54,16 @@ def i1(spark, d):
     return route(rows, test_prefix="room1", known=("speech_start", "chat_received")).select("event_id", "handler")
 
 
-@query("i2_recording_states")
+_TRANSITIONS = ", ".join(f"('{a}', '{b}', '{to}')" for (a, b), to in lifecycle.TRANSITIONS.items())
+
+
+@query("i2_recording_states", f"""WITH RECURSIVE t AS (SELECT * FROM (VALUES {_TRANSITIONS}) v(was, event, becomes)),
+reached AS (SELECT DISTINCT event, becomes FROM t),
+r AS (SELECT event_id // 10 AS recording, {_EVENT} AS event, row_number() OVER (PARTITION BY event_id // 10 ORDER BY event_id) AS n FROM events),
+walk AS (SELECT DISTINCT recording, 0::BIGINT AS n, 'initiated' AS status, 0 AS illegal FROM r
+  UNION ALL SELECT r.recording, r.n, coalesce(t.becomes, w.status), w.illegal + CASE WHEN t.becomes IS NULL AND q.event IS NULL THEN 1 ELSE 0 END
+  FROM walk w JOIN r ON r.recording = w.recording AND r.n = w.n + 1 LEFT JOIN t ON t.was = w.status AND t.event = r.event LEFT JOIN reached q ON q.event = r.event AND q.becomes = w.status)
+SELECT recording, arg_max(status, n) AS status, arg_max(illegal, n)::INTEGER AS illegal FROM walk GROUP BY recording""")
 def i2(spark, d):
     rows = table(spark, d, "events").select(F.floor(c("event_id") / 10).alias("recording"), "event_id", F.expr(_EVENT).alias("event"))
     return lifecycle.run_states(rows, "recording", ["event_id"], "event")
@@ -67,7 +76,14 @@ def i3(spark, d):
     return table(spark, d, "events").select("event_id", F.try_element_at(known, egress).alias("status"))
 
 
-@query("i4_lobby_states")
+@query("i4_lobby_states", f"""WITH RECURSIVE r AS (SELECT user_id % 50 AS room, user_id, CASE WHEN event_type IN ('view', 'signup') THEN 'request' WHEN event_type = 'click' THEN 'accept' ELSE 'deny' END AS action,
+  event_id * 2 AS moment, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+walk AS (SELECT DISTINCT room, user_id, 0::BIGINT AS n, 'unknown' AS status, 0::BIGINT AS until FROM r
+  UNION ALL SELECT room, user_id, n, becomes, CASE WHEN becomes = live AND NOT (action = 'request' AND becomes = 'waiting') THEN until
+    ELSE moment + CASE becomes WHEN 'accepted' THEN {lifecycle.ACCEPTED} WHEN 'denied' THEN {lifecycle.DENIED} ELSE {lifecycle.WAITING} END END
+  FROM (SELECT *, CASE WHEN action = 'request' AND live IN ('unknown', 'waiting') THEN 'waiting' WHEN action = 'accept' AND live = 'waiting' THEN 'accepted' WHEN action = 'deny' AND live = 'waiting' THEN 'denied' ELSE live END AS becomes
+    FROM (SELECT r.*, w.until, CASE WHEN w.until > r.moment THEN w.status ELSE 'unknown' END AS live FROM walk w JOIN r ON r.user_id = w.user_id AND r.n = w.n + 1)))
+SELECT room, user_id, CASE WHEN arg_max(until, n) > 2000 THEN arg_max(status, n) ELSE 'unknown' END AS status FROM walk GROUP BY room, user_id""")
 def i4(spark, d):
     kind = F.when(c("event_type").isin("view", "signup"), "request").when(c("event_type") == "click", "accept").otherwise("deny")
     rows = table(spark, d, "events").select((c("user_id") % 50).alias("room"), "user_id", "event_id", kind.alias("action"), (c("event_id") * 2).alias("at"))
@@ -110,7 +126,12 @@ def i8(spark, d):
     return lifecycle.read_and_clear(rows, "user_id", ["event_id"], c("event_type") == "view", "at", 600).select("event_id", "hit")
 
 
-@query("i9_utterances")
+@query("i9_utterances", with_views("meeting", """,
+m AS (SELECT participant, event_id, type, row_number() OVER w AS n, sum(CASE WHEN type = 'speech_start' THEN 1 ELSE 0 END) OVER w AS utterance,
+  last_value(CASE WHEN type = 'speech_start' THEN true WHEN type = 'speech_end' THEN false END IGNORE NULLS) OVER w AS live FROM meeting WINDOW w AS (PARTITION BY participant ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT participant, utterance, min(n) AS a, max(n) AS b FROM m WHERE utterance > 0 AND (live OR type = 'speech_end') GROUP BY ALL)
+SELECT participant, s.utterance::BIGINT AS utterance, string_agg(event_id::VARCHAR, ' ' ORDER BY n) AS text FROM s JOIN m USING (participant)
+WHERE n BETWEEN greatest(a - 5, 1) AND b AND type NOT IN ('speech_start', 'speech_end') GROUP BY participant, s.utterance"""))
 def i9(spark, d):
     return lifecycle.utterances(entity(spark, d, "meeting").withColumn("text", c("event_id").cast("string")), "participant", ["ts", "event_id"], "type", "text", 5)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plenum.operators import counters, intervals, islands, ratelimit
-from plenum.plans.analogues import entity, with_views
+from plenum.plans.analogues import entity, recursive, with_views
 from plenum.plans.registry import query
 from plenum.sources.tables import table
 
@@ -204,13 +204,24 @@ def f4(spark, d):
     return counters.queue(entity(spark, d, "meeting").where("type = 'chat_received'"), ["day"], ["ts", "participant", "event_id"]).select("event_id", F.col("position").cast("long").alias("position"))
 
 
-@query("f19_sliding_rate_limit")
+_CALLS = "r AS (SELECT participant, event_id, epoch_us(ts) // 1000 AS moment, row_number() OVER (PARTITION BY participant ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM meeting)"
+
+
+@query("f19_sliding_rate_limit", recursive("meeting", f""", {_CALLS},
+walk AS (SELECT participant, event_id, n, [moment] AS held, true AS accepted FROM r WHERE n = 1
+  UNION ALL SELECT participant, event_id, n, CASE WHEN len(live) < 3 THEN list_append(live, moment) ELSE live END, len(live) < 3
+  FROM (SELECT r.*, list_filter(w.held, lambda x: x > r.moment - 86400000) AS live FROM walk w JOIN r ON r.participant = w.participant AND r.n = w.n + 1))
+SELECT participant, event_id, accepted FROM walk"""))
 def f19(spark, d):
     rows = entity(spark, d, "meeting").select("participant", "event_id", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("at"))
     return ratelimit.sliding(rows, "participant", "at", "event_id", most=3, window=86_400_000)
 
 
-@query("f20_anchored_rate_limit")
+@query("f20_anchored_rate_limit", recursive("meeting", f""", {_CALLS},
+walk AS (SELECT participant, event_id, n, moment AS opened, 1 AS calls FROM r WHERE n = 1
+  UNION ALL SELECT r.participant, r.event_id, r.n, CASE WHEN r.moment - w.opened >= 86400000 THEN r.moment ELSE w.opened END, CASE WHEN r.moment - w.opened >= 86400000 THEN 1 ELSE w.calls + 1 END
+  FROM walk w JOIN r ON r.participant = w.participant AND r.n = w.n + 1)
+SELECT participant, event_id, calls <= 2 AS accepted FROM walk"""))
 def f20(spark, d):
     rows = entity(spark, d, "meeting").select("participant", "event_id", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("at"))
     return ratelimit.anchored(rows, "participant", "at", "event_id", most=2, window=86_400_000)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -39,9 +40,17 @@ def _slugify(s: pd.Series) -> pd.Series:
     return kept.str.replace(r"[-\s]+", "-", regex=True).str.strip("-_")
 
 
+@cache
+def _accented() -> tuple[str, str]:
+    """All letters that decompose into a small ASCII letter and accents, and those letters."""
+    parts = {chr(k): unicodedata.normalize("NFD", chr(k)) for k in range(0x80, 0x2200)}
+    kept = {x: p[0] for x, p in parts.items() if "a" <= p[0] <= "z" and all("\u0300" <= m <= "\u036f" for m in p[1:])}
+    return "".join(kept), "".join(kept.values())
+
+
 def slugify_simple(s: Column) -> Column:
-    """As a browser does it: small letters, Latin accents off, trimmed, other characters dropped, spaces to hyphens, runs as one."""
-    plain = F.translate(F.lower(s), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """As a browser does it: small letters, accents off, trimmed, other characters dropped, spaces to hyphens, runs as one."""
+    plain = F.regexp_replace(F.translate(F.lower(s), *_accented()), "[\u0300-\u036f]", "")
     kept = F.regexp_replace(strip(plain), r"[^a-z0-9\s-]", "")
     return F.regexp_replace(F.regexp_replace(kept, r"\s+", "-"), "-+", "-")
 

@@ -192,7 +192,7 @@ _STRIP = "regexp_replace(lower(chr(9) || email || '  '), '^\\s+|\\s+$', '', 'g')
 project("j1_lower_strip", "users", "id", {"x": (lambda: text.lower_strip(F.concat(F.lit("\t"), c("email"), F.lit("  "))), _STRIP)})
 query("j2_lower_key", with_views("users", "SELECT lower(email) AS k, count(*) AS n FROM users GROUP BY 1"))(lambda s, d: entity(s, d, "users").groupBy(F.lower("email").alias("k")).agg(F.count("*").alias("n")))
 project("j3_has_upper", "users", "id", {"x": (lambda: text.has_upper(c("email")), "email <> lower(email)")})
-project("j4_slugify", "users", "id", {"x": (lambda: text.slugify(F.concat_ws(" ", c("full_name"), F.lit("Été_à  l'Œuvre!"), c("language"))), None)})
+project("j4_slugify", "users", "id", {"x": (lambda: text.slugify(F.concat_ws(" ", c("full_name"), F.lit("Été_à  l'Œuvre!"), c("language"))), "trim(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(concat_ws(' ', full_name, 'Été_à  l''Œuvre!', language)), '[^\\x00-\\x7F]', '', 'g')), '[^\\w\\s-]', '', 'g'), '[-\\s]+', '-', 'g'), '-_')")})
 project("j5_uuid_shape", "users", "id", {"x": (lambda: text.is_uuid(F.when(c("id") % 2 == 0, F.concat(F.lpad(c("id").cast("string"), 8, "0"), F.lit("-0000-4000-8000-00000000000A"))).otherwise(c("full_name"))), "id % 2 = 0")})
 project("j6_capitalize_first", "users", "id", {"x": (lambda: text.capitalize_first(c("language")), "upper(language[1]) || language[2:]")})
 project("j7_zero_pad", "users", "id", {"x": (lambda: text.zero_pad(c("id").cast("string"), 4), "CASE WHEN length(id::VARCHAR) >= 4 THEN id::VARCHAR ELSE lpad(id::VARCHAR, 4, '0') END")})
@@ -214,7 +214,8 @@ project("j20_remaining_seconds", "events", "event_id", {"x": (lambda: text.remai
 project("j21_round_half_even", "events", "event_id", {"x": (lambda: text.round_half_even((c("event_id") / 8).cast("double")), "round_even((event_id / 8)::DOUBLE, 2)")})
 project("j22_round_half_up", "events", "event_id", {"x": (lambda: text.round_half_up(c("value")), "floor(value + 0.5)::BIGINT")})
 project("j23_digests", "users", "id", {"sha1": (lambda: F.sha1(c("full_name").cast("binary")), "sha1(full_name)"), "b64": (lambda: F.base64(c("full_name").cast("binary")), "to_base64(full_name::BLOB)")})
-project("j23_hmac", "users", "id", {"x": (lambda: text.hmac_sha256(b"secret", c("full_name")), None)})
+_PADS = [b"secret".ljust(64, b"\0").translate(bytes(k ^ b for k in range(256))).hex() for b in (0x36, 0x5C)]
+project("j23_hmac", "users", "id", {"x": (lambda: text.hmac_sha256(b"secret", c("full_name")), f"sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || full_name::BLOB)))")})
 project("j24_typed_parse", "users", "id", {"x": (lambda: text.typed(F.when(c("id") % 3 == 0, c("id").cast("string")).when(c("id") % 3 == 1, F.concat(c("id").cast("string"), F.lit(".5"))).otherwise(c("full_name"))), "CASE id % 3 WHEN 0 THEN 'int' WHEN 1 THEN 'float' ELSE 'string' END")})
 project("j25_email_domain", "users", "id", {"x": (lambda: text.email_domain(c("email")), "string_split(email, '@')[-1]")})
 project("j26_short_label", "users", "id", {"x": (lambda: text.short_label(c("full_name")), "CASE WHEN length(full_name) > 10 THEN full_name[:10] || '.' ELSE full_name END")})
@@ -233,6 +234,10 @@ _K = lambda: F.create_map(F.lit("b"), F.get_json_object("props", "$.k"), F.lit("
 project("k1_map_merge", "events", "event_id", {"x": (lambda: F.array_join(F.array_sort(F.transform(F.map_entries(json_ops.merge_maps(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), _K())), lambda e: F.concat_ws("=", e["key"], e["value"]))), ","), "'a=1,b=' || (props::JSON ->> '$.k') || ',c=' || event_type")})
 project("k2_map_without", "events", "event_id", {"x": (lambda: F.to_json(json_ops.without_keys(_K(), ["c"])), "'{\"b\":\"' || (props::JSON ->> '$.k') || '\"}'")})
 _A, _B = lambda: F.split(F.lit("camera,microphone,camera,screen"), ","), lambda: F.array(F.when(c("event_id") % 2 == 0, "camera").otherwise("screen"))
+_LIST = "string_split(text, ' ')"
+project("e16_list_membership_rows", "conversations", "conv_id, turn", {"x": (lambda: F.array_contains(F.split("text", " "), c("role")) | F.array_contains(F.split("text", " "), "the"), f"list_contains({_LIST}, role) OR list_contains({_LIST}, 'the')")})
+project("k5_array_upper_words", "conversations", "conv_id, turn", {"x": (lambda: F.array_join(F.transform(F.split(F.regexp_replace("text", "[^a-z ]", ""), " "), F.upper), ","), "array_to_string(list_transform(string_split(regexp_replace(text, '[^a-z ]', '', 'g'), ' '), lambda w: upper(w)), ',')")})
+project("j32_slugify_accents", "users", "id", {"x": (lambda: text.slugify_simple(F.concat(F.lit(" Šő Źd -- ǻ ệ "), c("full_name"), F.lit(" ñ"))), "'so-zd-a-e-' || replace(lower(full_name), '#', '') || '-n'")})
 project("k3_array_union", "events", "event_id", {"x": (lambda: F.array_join(json_ops.union_arrays(_A(), _B()), ","), "'camera,microphone,screen'"), "removed": (lambda: F.array_join(json_ops.remove_all(_A(), _B()), ","), "CASE WHEN event_id % 2 = 0 THEN 'microphone,screen' ELSE 'camera,microphone,camera' END")})
 project("e16_list_membership", "events", "event_id", {"x": (lambda: F.array_contains(_A(), F.element_at(_B(), 1)), "true")})
 project("k4_array_distinct", "conversations", "conv_id, turn", {"n": (lambda: F.size(F.array_distinct(F.split("text", " "))).cast("long"), "len(list_distinct(string_split(text, ' ')))")})

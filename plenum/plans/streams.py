@@ -85,6 +85,16 @@ def a9(spark, d):
     return _drained(spark, rooms.route(rows, test_prefix="room1", known=("view", "click")).select("event_id", "handler"), "webhooks")
 
 
+@query("a9_webhook_json_stream", "SELECT event_id, 'room' || user_id AS room, 'on_' || event_type AS handler FROM events WHERE event_type IN ('view', 'click') AND NOT starts_with('room' || user_id, 'room1')")
+def a9_json(spark, d):
+    """Webhooks as they come: JSON lines in a folder. A room is named by the event or, for every other one, by its recorder."""
+    named = F.concat(F.lit("room"), c("user_id").cast("string"))
+    at = fresh_folder(spark, "hooks")
+    table(spark, d, "events").select(c("event_type").alias("event"), F.when(c("event_id") % 2 == 0, named).alias("room_name"), c("event_id").cast("string").alias("egress_id"), named.alias("egress_room_name"), F.date_format(c("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("ts")).write.json(at)
+    routed = rooms.route(stores.webhooks(spark, at), test_prefix="room1", known=("view", "click"))
+    return _drained(spark, routed.select(c("egress_id").cast("long").alias("event_id"), "room", "handler"), "routed")
+
+
 @query("a10_callback_stream", with_views("recordings", "SELECT e.event_id::VARCHAR AS job_id, r.id AS recording_id FROM events e JOIN recordings r ON r.id = e.event_id"))
 def a10_stream(spark, d):
     known = entity(spark, d, "recordings").select("id", c("id").cast("string").alias("external_process_id"))
@@ -103,6 +113,13 @@ def a12(spark, d):
     return _drained(spark, _stream(spark, d).groupBy("user_id").agg(F.count("*").alias("deltas"), F.sum(F.length("props")).alias("chars")), "deltas", "complete")
 
 
+@query("a12_text_stream_json", "SELECT 's' || user_id AS session, count(*) AS deltas, sum(length(props))::BIGINT AS chars, max(event_id) AS last_seq FROM events GROUP BY user_id")
+def a12_json(spark, d):
+    at = fresh_folder(spark, "deltas")
+    table(spark, d, "events").select(F.concat(F.lit("s"), c("user_id").cast("string")).alias("session"), c("event_id").alias("seq"), c("props").alias("delta"), F.date_format(c("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("ts")).write.json(at)
+    return _drained(spark, stores.text_stream(spark, at).groupBy("session").agg(F.count("*").alias("deltas"), F.sum(F.length("delta")).alias("chars"), F.max("seq").alias("last_seq")), "texts", "complete")
+
+
 @query("a13_each_batch_sink", "SELECT event_id, value FROM events WHERE event_type = 'purchase'")
 def a13(spark, d):
     """Each micro-batch is written to a folder of its own number, so a batch that is sent again replaces itself."""

@@ -8,6 +8,7 @@ powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,8 +38,13 @@ def vocabulary() -> str:
 
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes. Words are looked up; texts with characters that Python's classes
-    treat otherwise than the tokenizer's, or with its special tokens, go through the tokenizer whole."""
+    treat otherwise than the tokenizer's, or with its special tokens, go through the tokenizer whole. So do all texts
+    if the tokenizer's file asks for another split, or for changes of the text."""
 
+    #: What a tokenizer's file says of the split that is known here.
+    KNOWN = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
+    #: Settings of a model that change how a word is cut.
+    PLAIN = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
     #: The tokenizer's own split, for texts without ODD characters.
     SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
     ODD = re.compile("[\x1c-\x1f\x80-\xbf\xd7\xf7\u0250-\u200f\u2028-\u20ab\u20ad-\U0010ffff]")
@@ -47,6 +53,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        said = json.loads(self.whole.to_str())
+        self.split = all(said.get(k) == v for k, v in self.KNOWN.items()) and said["model"]["type"] == "BPE" and not any(said["model"].get(k) for k in self.PLAIN)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         # Byte-level vocabularies write printable Latin-1 bytes as themselves and the others from U+0100 on, in order.
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -61,7 +69,7 @@ class Encoder:
         return ids
 
     def __call__(self, text: str) -> bytes:
-        if (not text.isascii() or re.search("[\x1c-\x1f]", text)) and self.ODD.search(text) or any(s in text for s in self.special):
+        if not self.split or (not text.isascii() or re.search("[\x1c-\x1f]", text)) and self.ODD.search(text) or any(s in text for s in self.special):
             return b"".join(i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids)
         known, word = self.known.get, self.word
         return b"".join([known(p) or word(p) for p in self.SPLIT.findall(text)])

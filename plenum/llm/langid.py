@@ -46,10 +46,11 @@ def _windows(texts: list[str]) -> np.ndarray:
 
 
 def train(texts: list[str], langs: list[str]) -> Network:
-    """Adam on the cross-entropy; the gradient of a maximum goes to the place where it was reached."""
+    """Adam on the cross-entropy, in which all languages weigh alike; the gradient of a maximum goes to the place where it was reached."""
     names = sorted(set(langs))
     rng = np.random.default_rng(SEED)
     x, y = _windows(texts), np.searchsorted(names, langs)
+    weight = (len(y) / len(names) / np.bincount(y, minlength=len(names))).astype(np.float32)
     params = [rng.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS]
     params += [rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(names))).astype(np.float32), np.zeros(len(names), np.float32)]
     first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
@@ -71,7 +72,7 @@ def train(texts: list[str], langs: list[str]) -> Network:
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(n), y[rows]] -= 1
-            p /= n
+            p *= weight[y[rows], None] / n
             back = p @ params[-2].T
             grads = [np.zeros_like(v) for v in params[:-2]] + [h.T @ p, p.sum(axis=0)]
             for j, w in enumerate(WIDTHS):

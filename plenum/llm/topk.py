@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from plenum.llm.lineage import settled
 
 K = 20
-CANDIDATES, QUERIES = 16_384, 512
+#: Candidates of a block, and queries of one at most and, while there are fewer pairs of blocks than PAIRS, at least.
+CANDIDATES, QUERIES, FEW_QUERIES, PAIRS = 16_384, 16_384, 512, 256
 #: Entries of each list in the first step; each later step doubles the depth.
 STEP = 64
 SCALE = 64
@@ -102,7 +103,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """
     rows = vectors.where("vec_id IS NOT NULL AND v IS NOT NULL").select(F.monotonically_increasing_id().alias("_row"), F.col("vec_id").cast("long").alias("vec_id"), "v", is_query.alias("_q")).transform(settled)
     n, asked = rows.agg(F.count("*"), F.count_if("_q")).first()
-    c_blocks, q_blocks = max(1, math.ceil(n / CANDIDATES)), max(1, math.ceil(asked / QUERIES))
+    c_blocks = max(1, math.ceil(n / CANDIDATES))
+    q_blocks = max(1, math.ceil(asked / QUERIES), min(math.ceil(asked / FEW_QUERIES), PAIRS // c_blocks))
     deal = lambda blocks, salt: F.pmod(F.xxhash64("_row", F.lit(salt)), F.lit(blocks))
     every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     candidates = rows.select("_row", "vec_id", "v", deal(c_blocks, 1).alias("cb"), every(q_blocks).alias("qb"))

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-CLASH = "size long, source_size long, _row long, __kinds_ string, kinds string, pass int, slot long, length int, secrets_ string, rank int"
+CLASH = "size long, source_size long, _row long, __kinds_ string, kinds string, pass int, slot long, length int, secrets_ string, rank int, "
+CLASH += "_key_rows int, _shard_key string, key string, tid int, label string, of int, diag int, kept string, _place int, _home int, node int, band int, runs string, _hash int, n int, grams string, log_weight string, quality int, n_words int, spans string"
+EXTRA = (1, 2, 3, "k", "k", 1, 5, 6, "s", 7, 8, "k", "k", 9, "l", 1, 2, "k", 3, 4, 5, 6, "r", 7, 8, "g", "w", 9, 1, "s")
 
 
 def make_rows():
@@ -25,7 +27,7 @@ def make_rows():
     rows[15][1] = 'x password = "abcdefgh12" token=secret: abcdefghij AKIA' + "Z9" * 8 + " " + "ab" * 20 + " é🎉 api_key:1234567 APIKEY:'longenough1' ghp_" + "a1" * 20
     rows[16][1] = "MIT License; the Mit, license! apache license GNU General Public License and general public"
     rows[17][1] = rows[18][1] + " tail"
-    return [tuple(r) + (1, 2, 3, "k", "k", 1, 5, 6, "s", 7) for r in rows]
+    return [tuple(r) + EXTRA for r in rows]
 
 
 @pytest.fixture(scope="session")

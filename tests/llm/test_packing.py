@@ -26,6 +26,29 @@ def test_encoder_equals_tokenizer(tok):
         assert enc(t) == want, t
 
 
+def test_other_tokenizers_go_whole():
+    """A tokenizer that changes texts and splits them otherwise gives its own ids."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc, own = packing.Encoder(path), Tokenizer.from_file(path)
+    assert not enc.split and packing.Encoder(packing.vocabulary()).split
+    for t in [x for x in TEXTS if x]:
+        assert enc(t) == b"".join(i.to_bytes(4, "little") for i in own.encode(t, add_special_tokens=False).ids)
+
+
+def test_little_padding(spark):
+    """Full windows, and rests cut at powers of two: next to no padding, and every length is one of these."""
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choice(["one", "two", "three"]) for _ in range(rng.choice([3, 40, 700, 5000])))) for k in range(150)]
+    by = {}
+    for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        by[r.sequence_id] = by.get(r.sequence_id, 0) + r.length
+    padded = sum(0 if n & (n - 1) == 0 else packing.WINDOW - n for n in by.values())
+    assert all(n >= packing.FULL or n & (n - 1) == 0 for n in by.values())
+    assert padded <= 0.02 * sum(by.values())
+
+
 def test_pack_covers_every_id(spark, tok):
     rows = [(k, t, "x") for k, t in enumerate(TEXTS)] + [(1, "repeated", "y"), (1, "repeated", "y"), (None, "no id", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, length string")

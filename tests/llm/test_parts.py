@@ -2,9 +2,11 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from plenum.llm import fingerprints, graph, langid, licenses, mixing, neardup, quality, secrets, shards, topk
@@ -29,11 +31,51 @@ def test_hot_key_is_spread(spark):
 
 
 def test_trigram_clauses():
-    by = {r.kind: r for r in secrets.RULES}
-    assert by["hex"].clauses() == []
-    assert frozenset({"tok", "oke", "ken"}) in by["assign"].clauses()
-    assert by["access"].clauses() == [frozenset({"aki", "kia"})]
-    assert secrets.Rule("x", "ab", (("ab",),)).clauses() == []
+    by = {r.kind: set(r.clauses()) for r in secrets.RULES}
+    assert by["hex"] == set() and by["access"] == {frozenset({"aki", "kia"})}
+    assert by["assign"] == {frozenset(w[k : k + 3] for k in range(len(w) - 2)) for w in ("password", "passwd", "secret", "token", "apikey", "api_key")}
+    assert by["github"] == {frozenset({f"gh{c}", f"h{c}_"}) for c in "pousr"}
+    assert by["jwt"] == {frozenset({"eyj", ".ey"})}
+    query = lambda x: set(secrets.trigram_query(x))
+    assert query("ab") == query("[a-z]{9}") == query("(abc)?d") == query(r"\p{L}abc") == query("[abc&&[^d]]efg") == set()
+    assert query("abc|xyz+") == {frozenset({"abc"}), frozenset({"xyz"})} and query("(?:ab){2}") == {frozenset({"aba", "bab"})}
+    assert query("Éabc[xy]") == {frozenset({"abc", "bcx"}), frozenset({"abc", "bcy"})}
+
+
+def random_regex(rng: random.Random, depth: int) -> str:
+    sub = lambda: random_regex(rng, depth - 1)
+    kind = rng.randrange(9 if depth else 3)
+    if kind == 0:
+        return re.escape(rng.choice(["abc", "tok", "x", "key_", "ABcd", "é"]))
+    if kind == 1:
+        return rng.choice(["[ab]", "[A-C]", "[a-z]", "[^a]", ".", r"\d", "[xyé]"])
+    if kind == 2:
+        return rng.choice(["ab", "bcd", "zz", "Key"])
+    if kind == 3:
+        return f"(?:{sub()}|{sub()})"
+    if kind == 4:
+        return f"({sub()})" + rng.choice(["?", "*", "+", "{2}", "{1,3}", "{5,}", "{3}", "{2,}+", "+?"])
+    if kind == 5:
+        return f"(?i:{sub()})"
+    return "(?<![q])" * rng.randrange(2) + "".join(sub() for _ in range(kind - 4))
+
+
+def test_clauses_miss_no_match():
+    """Random expressions and texts: whatever matches satisfies a clause."""
+    rng, asked, parts = random.Random(11), 0, ["abc", "tok", "x", "key_", "ABcd", "é", "a", "b", "A", "C", "zz", "Key", "bcd", "1", "."]
+    for _ in range(1500):
+        rule = re.compile(random_regex(rng, 4))
+        clauses = secrets.trigram_query(rule.pattern)
+        for _ in range(30 if clauses else 0):
+            for m in rule.finditer("".join(rng.choice(parts) for _ in range(rng.randrange(14)))):
+                asked += 1
+                assert any(all(g in m[0].lower() for g in c) for c in clauses), rule.pattern
+    assert asked > 1000
+
+
+def test_rules_must_match_something():
+    with pytest.raises(ValueError):
+        secrets.Rule("x", "(abc)?")
 
 
 def test_redact(spark):
@@ -41,14 +83,34 @@ def test_redact(spark):
     assert [r.text for r in secrets.redact(rows).orderBy(F.col("text").desc_nulls_last()).collect()] == ["é [SECRET] x [SECRET]", "clean", None]
 
 
-def test_full_scan_rule_equals_indexed(spark):
-    """A rule with its trigrams finds what it finds without."""
-    texts = ["token=abcdefgh1", "TOKEN = 'abcdefgh1'", "tok en=abcdefgh1", "apikey:abcdefgh2 api_key:abcdefgh3", ""]
+def test_full_scan_rule_equals_indexed(spark, monkeypatch):
+    """A rule with its trigrams finds what it finds without, whether candidates are broadcast or shuffled."""
+    texts = ["token=abcdefgh1", "TOKEN = 'abcdefgh1'", "tok en=abcdefgh1", "apikey:abcdefgh2 api_key:abcdefgh3", "", None, "AKIA" + "A" * 12]
     rows = spark.createDataFrame([(t,) for t in texts], "text string")
-    assign = secrets.BASE[0]
-    bare = secrets.Rule(assign.kind, assign.regex, (), assign.group, assign.least)
-    spans = lambda r: sorted(map(str, secrets.scan(rows, (r,)).select("text", secrets.joined(F.col("secrets"))).collect()))
-    assert spans(assign) == spans(bare)
+    spans = lambda: sorted(map(str, secrets.scan(rows).select("text", secrets.joined(F.col("secrets"))).collect()))
+    indexed = spans()
+    monkeypatch.setattr(secrets, "FEW", 0)
+    assert spans() == indexed
+    monkeypatch.setattr(secrets.Rule, "clauses", lambda self: ())
+    assert spans() == indexed
+
+
+def test_texts_of_many_matches(spark):
+    """100,000 secrets in one text: found in places that follow one another, and all of them masked."""
+    one = "ab" * 16
+    rows = spark.createDataFrame([("\n".join([one] * 100_000) + " é token=abcdefgh1",), ("é" + one,)], "text string")
+    got = {r.n: r for r in secrets.scan(rows).select(F.size("secrets").alias("n"), F.col("secrets")[0].alias("first"), F.try_element_at("secrets", F.lit(-2)).alias("late"), F.try_element_at("secrets", F.lit(-1)).alias("last")).collect()}
+    assert (got[1].first.start, got[1].first.end) == (1, 33)
+    assert (got[100_001].first.start, got[100_001].late.start, got[100_001].late.end) == (0, 99_999 * 33, 99_999 * 33 + 32)
+    assert got[100_001].last.kind == "assign" and got[100_001].last.start == 100_000 * 33 + 2
+    texts = {len(r.text): r.text for r in secrets.redact(rows).collect()}
+    assert texts[100_000 * 9 + 2 + 8] == "\n".join(["[SECRET]"] * 100_000) + " é [SECRET]" and texts[9] == "é[SECRET]"
+
+
+def test_redaction_cuts_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "CHUNK", 5)
+    rows = spark.createDataFrame([("é🎉 token=abcdefgh12 some words " + "c3" * 20 + " password: AKIA" + "Z9" * 8 + "; AKIA" + "B" * 12,)], "text string")
+    assert secrets.redact(rows).first().text == "é🎉 [SECRET] some words [SECRET] [SECRET]; [SECRET]"
 
 
 def test_sketch_peels_what_differs(spark):
@@ -60,18 +122,56 @@ def test_sketch_peels_what_differs(spark):
         want = 1.0 if not a and not b else n / len(set(a) | set(b))
         assert math.isclose(row.select(fingerprints.likeness(F.col("a"), F.col("b")).alias("x")).first().x, want)
     row = spark.createDataFrame([([1, 2, 3, 4], [3, 4, 5])], "a array<long>, b array<long>")
-    w = fingerprints.WIDTHS[1]
-    got = row.select(fingerprints.peel(fingerprints.subtract(fingerprints.sketch(F.col("a"), w), fingerprints.sketch(F.col("b"), w)), w).alias("p")).first().p
-    assert sorted(got.a) == [1, 2] and got.b == [5]
+    for width in (7, 1000):
+        w = F.lit(width).cast("long")
+        got = row.select(fingerprints.peel(fingerprints.subtract(fingerprints.sketch(F.col("a"), w), fingerprints.sketch(F.col("b"), w)), w).alias("p")).first().p
+        assert sorted(got.a) == [1, 2] and got.b == [5] and got.cells == []
+
+
+def test_sketch_sums_cells(spark):
+    """Each cell against its sums worked out one by one, and what is left where peeling sticks."""
+    rng = random.Random(5)
+    found = [rng.getrandbits(62) for _ in range(60)]
+    row = spark.createDataFrame([(found,)], "a array<long>")
+    w = F.lit(11).cast("long")
+    at = row.select(F.transform("a", lambda d: F.struct(d.alias("d"), F.xxhash64(d, F.lit(99)).alias("h"), *[(F.pmod(F.xxhash64(d, F.lit(j)), w) + 11 * j).alias(f"i{j}") for j in range(3)])).alias("x")).first().x
+    want = {}
+    for x in at:
+        for i in (x.i0, x.i1, x.i2):
+            c, k, h = want.get(i, (0, 0, 0))
+            want[i] = c + 1, k ^ x.d, h ^ x.h
+    got = row.select(fingerprints.sketch(F.col("a"), w).alias("s"), fingerprints.peel(fingerprints.sketch(F.col("a"), w), w).alias("p")).first()
+    assert {e.i: (e.c, e.k, e.h) for e in got.s} == want
+    assert got.p.cells and len(got.p.a) < 60 and set(got.p.a) <= set(found)
+
+
+def test_thousands_of_different_paragraphs(spark, tmp_path):
+    """Long texts that differ in thousands of lines, in op5's rows."""
+    texts = ["\n".join(f"line {k} {j}" for j in range(7000)) for k in range(2)] + ["\n".join(f"line 0 {j}" for j in range(500, 7000))]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in fingerprints.op5(spark, str(tmp_path)).collect()}
+    parts = [set(re.findall(r"\n*[^\n]{1,200}|\n+", t)) for t in texts]
+    for k in range(3):
+        a, b = parts[k], parts[(k + 1) % 3]
+        assert math.isclose(got[k].near_next, len(a & b) / len(a | b))
+        cut = len(texts[k]) // 4
+        b = set(re.findall(r"\n*[^\n]{1,200}|\n+", texts[k][: len(texts[k]) - cut] + texts[(k + 1) % 3][:cut]))
+        assert math.isclose(got[k].near_edited, len(a & b) / len(a | b))
 
 
 def test_next_over_groups(spark, monkeypatch):
+    """Small, huge, negative, repeated and null keys; no group is large."""
     monkeypatch.setattr(fingerprints, "GROUP", 7)
-    ids = random.Random(1).sample(range(1000), 100)
-    rows = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").withColumn("_row", F.monotonically_increasing_id())
-    got = {r.doc_id: r.next_text for r in fingerprints.with_next(rows, "doc_id", ["text"]).collect()}
-    order = sorted(ids)
-    assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1], strict=True)}
+    rng = random.Random(1)
+    huge = [(1 << 61) + rng.randrange(1 << 60) for _ in range(100)]
+    for ids in (rng.sample(range(1000), 100), huge, [(1 << 62) + k for k in range(100)], [-5, (1 << 63) - 1, 0] * 30, [3] * 80 + [None] * 20, [None], [4]):
+        rows = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string").withColumn("_row", F.monotonically_increasing_id())
+        order = sorted(((i is None, i or 0, r, t) for i, t, r in rows.collect()))
+        led = fingerprints.with_next(rows, "doc_id", ["text"])
+        assert {r.text: r.next_text for r in led.collect()} == {a[3]: b[3] for a, b in zip(order, order[1:] + order[:1], strict=True)}
+        bounds = [tuple(b) for b in fingerprints.bounds_of(rows, len(ids), "doc_id")]
+        sizes = Counter(sum(b <= x[:3] for b in bounds) for x in order)
+        assert max(sizes.values()) <= max(35, len(ids) // 3)
 
 
 def test_hypergeometric(spark):
@@ -216,3 +316,140 @@ def test_network_lookup_equals_convolution():
     p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
     assert np.allclose(langid.Reader(net)([text, b"x", text])[0], p, atol=1e-4)
     assert langid.Reader(net)([b"x" * k for k in (1, 124, 125, 126, 128, 129)]).shape == (6, 2)
+
+
+def test_language_of_copies_is_learned(spark):
+    """A language whose rows all hold one text, among many different texts of another, and languages beyond the bound."""
+    rng = random.Random(7)
+    words = ["water", "stone", "river", "little", "house", "green", "under", "morning"]
+    rows = [("der große Fluss fließt über die alte Brücke", "de")] * 3000 + [(" ".join(rng.choice(words) for _ in range(30)), "en") for _ in range(3000)] + [(None, "fr"), ("nobody knows", None), ("...", "xx")]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    drawn = Counter(lang for lang, _ in langid.sample(df))
+    assert drawn["de"] == langid.WINDOWS and drawn["en"] == langid.TEXTS * langid.WINDOWS and "fr" not in drawn
+    net = langid.fit(df)
+    assert net.langs == ["de", "en"]
+    got = langid.predict(spark.createDataFrame([("die Brücke über den Fluss",), ("little house under stone",), ("12",), (None,)], "text string"), net, []).collect()
+    assert [r.lang_pred for r in got] == ["de", "en", "und", "und"]
+
+
+def test_most_frequent_of_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 2)
+    monkeypatch.setattr(langid, "MOST_WINDOWS", 3 * langid.WINDOWS * 2)
+    rows = spark.createDataFrame([(f"text {k} of {lang}", lang) for lang, n in (("a", 9), ("b", 5), ("c", 5)) for k in range(n)], "text string, lang string")
+    assert Counter(lang for lang, _ in langid.sample(rows)) == {"a": 3 * langid.WINDOWS, "b": 3 * langid.WINDOWS}
+
+
+def test_held_out_accuracy(spark):
+    """Languages of different words and letters: nearly all texts that were not learned from are told apart."""
+    rng = random.Random(8)
+    words = {"x": ["the", "and", "which", "house"], "y": ["und", "größe", "nicht", "straße"], "z": ["était", "leçon", "où", "fenêtre"]}
+    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(rng.randint(3, 60))), lang) for k, lang in enumerate(rng.choice("xyz") for _ in range(600))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held", langid.held_out(F.col("doc_id")))
+    got = langid.predict(df.where("held"), langid.fit(df.where("NOT held")), ["lang string"]).collect()
+    assert len(got) > 80 and sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
+
+
+def test_weights_and_draw_against_plain_counts(spark):
+    """Counts, ratios, keys and the k largest, each written a second time."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["good", "Fine,", "x9", "BAD!!", "bad", "|"]) for _ in range(rng.randint(0, 25))) for _ in range(160)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(3)
+    labels = [(k, int("good" in (texts[k] or ""))) for k in range(0, 160, 2)] + [(2, 0), (2, 1), (None, 1), (4, None), (999, 1)]
+    best = {}
+    for k, q in labels:
+        if k is not None and q is not None:
+            best[k] = max(q, best.get(k, 0))
+    raw, target = Counter(), Counter()
+
+    def shape(w):
+        return re.sub(r"(.)\1+", r"\1", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in w))
+
+    grams = quality.Features()
+    for k, t in enumerate(texts):
+        raw.update(grams(t).tolist())
+        if best.get(k) == 1:
+            target.update(grams(t).tolist())
+    n_raw, n_target = sum(raw.values()) + quality.BUCKETS, sum(target.values()) + quality.BUCKETS
+    weight = [sum(math.log((target[g] + 1) / n_target) - math.log((raw[g] + 1) / n_raw) for g in grams(t).tolist()) for t in texts]
+    scored, k = quality.weigh(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = scored.collect()
+    assert len(got) == len(texts)
+    assert all(math.isclose(r.log_weight, weight[r.doc_id], rel_tol=1e-4, abs_tol=1e-4) for r in got)
+    noise = {r.doc_id: r.key - r.log_weight for r in got}
+    ranks = np.exp(-np.exp(-np.sort(list(noise.values()))))
+    assert np.abs(ranks - (np.arange(len(ranks)) + 0.5) / len(ranks)).max() < 1.6 / math.sqrt(len(ranks))  # the noise is Gumbel's
+    cut = quality.cut(scored, quality.labelled(spark.createDataFrame(labels, "doc_id long, quality int")))
+    errors = lambda x: sum(weight[i] < x for i, q in best.items() if q and i < 162) / sum(q for i, q in best.items() if i < 162) + sum(weight[i] >= x for i, q in best.items() if not q) / sum(1 - q for q in best.values())
+    assert errors(cut) <= min(errors(w + 1e-6) for w in weight) + quality.SLACK + 1e-9
+    assert k == sum(r.log_weight >= cut for r in got)
+    drawn = {r.doc_id for r in quality.draw(scored, k).collect()}
+    assert drawn == {r.doc_id for r in sorted(got, key=lambda r: -r.key)[:k]}
+    assert [shape(w) for w in ("Fine,", "BAD!!", "x9")] == ["Xx,", "X!", "x9"]
+    assert len(grams("good Fine, x9")) == 3 + 2 + 3 + 2 + 1
+
+
+def test_labels_are_bounded_by_ids(spark):
+    labels = spark.createDataFrame([(1, 1)] * 50 + [(k, 0) for k in range(2, 12)], "doc_id long, quality int")
+    assert quality.labelled(labels, 20).count() == 11 and quality.labelled(labels, 5).count() == 5
+
+
+def test_table_by_turns():
+    """The lookup table, claimed step by step from written-out permutations."""
+    import hashlib
+
+    names, size = ["a", "b", "c"], 13
+    number = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:15], 16)
+    wish = [[(number(f"offset:{s}") + j * (number(f"skip:{s}") % (size - 1) + 1)) % size for j in range(size)] for s in names]
+    assert all(sorted(w) == list(range(size)) for w in wish)
+    owner = {}
+    while len(owner) < size:
+        for k, w in enumerate(wish):
+            free = [slot for slot in w if slot not in owner]
+            if free:
+                owner[free[0]] = k
+    assert shards.fill(names, size) == [owner[slot] for slot in range(size)]
+
+
+def test_clashing_names(spark, docs, rows):
+    """Columns called like inner ones pass unchanged; a sharding key may be called slot."""
+    names = docs.columns
+    placed = shards.shard_rows(docs, ["doc_id"], shards.shard_names(4), 251, ["text"])
+    others = [c for c in names if c not in ("slot", "shard")]
+    assert placed.columns == [*others, "slot", "shard"]
+    assert Counter(map(str, placed.select(*others).collect())) == Counter(map(str, docs.select(*others).collect()))
+    assert shards.shard_rows(docs, ["slot"], shards.shard_names(4), 251).select("shard").distinct().count() == 1
+    free = [c for c in names if c not in ("n_words", "spans")]
+    found = licenses.scan(docs, keep=tuple(free))
+    assert found.columns == [*free, "n_words", "spans"]
+    assert Counter(map(str, found.select(*free).collect())) == Counter(map(str, docs.select(*free).collect()))
+    measured = mixing.measure(docs, keep=tuple(names)).select("kept.*")
+    assert measured.columns == names and measured.count() == len(rows)
+    assert secrets.scan(docs).columns == [*names, "secrets"]
+
+
+def test_shuffled_input_is_written_first(spark):
+    """Places of rows hold for an input whose order is not settled."""
+    rows = spark.range(400).select("id", F.concat(F.lit("token=abcdefgh"), F.col("id").cast("string")).alias("text")).repartition(7, F.rand())
+    got = secrets.redact(rows.withColumn("own", F.col("text"))).collect()
+    assert {r.text for r in got} == {"[SECRET]"} and len({r.own for r in got}) == 400
+    mixed = mixing.mix_texts(rows.select("id", "text", F.lit("s").alias("source"), F.lit(0).alias("n_chars"))).collect()
+    assert all(r.text == f"token=abcdefgh{r.id}" for r in mixed)
+
+
+def test_large_groups_go_by_way_of_others(spark):
+    """Edges into a hub are dealt over nodes between; components stay."""
+    star = spark.createDataFrame([(k, 0) for k in range(1, 3000)], "a long, b long")
+    dealt = graph.fanned(star)
+    assert dealt.groupBy("b").count().agg(F.max("count")).first()[0] <= 256
+    assert graph.components(star).where("label = 0").count() == 3000
+    banded = spark.createDataFrame([(k, 7) for k in range(3000)] + [(k, 8) for k in range(2999, 3100)] + [(5000, 9)], "node long, band long")
+    edges = neardup.band_edges(banded)
+    assert edges.groupBy("b").count().agg(F.max("count")).first()[0] <= 300
+    assert {r.node for r in graph.components(edges).where("label = 0").collect()} == set(range(3100))
+
+
+def test_lookups_of_hot_keys(spark):
+    rows = spark.createDataFrame([(k, 0 if k < 500 else k) for k in range(1000)] + [(2000, None), (2001, 5000)], "id long, key long")
+    table = spark.createDataFrame([(k, f"v{k}", 500 if k == 0 else 1) for k in range(1000)], "key long, value string, n long")
+    got = graph.look_up(rows, table, ["key"], F.col("n") > 100)
+    assert {(r.id, r.value) for r in got.collect()} == {(k, "v0" if k < 500 else f"v{k}") for k in range(1000)} | {(2000, None), (2001, None)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.llm.lineage import settled
@@ -27,11 +27,10 @@ def look_up(rows: DataFrame, table: DataFrame, on: list[str], hot: Column) -> Da
 
 def fanned(edges: DataFrame) -> DataFrame:
     """(a, b) that join the same nodes, by way of one node for each of FAN parts of the edges into a node: a node that a
-    third of all rows point to is met by a small share of them in any task."""
-    dealt = edges.select("a", "b", F.pmod(F.xxhash64("a", F.lit(3)), F.lit(FAN)).alias("part"))
-    least = dealt.groupBy("b", "part").agg(F.min("a").alias("via"))
-    inner = dealt.join(least, ["b", "part"]).select("a", F.col("via").alias("b"))
-    return inner.union(least.select(F.col("via").alias("a"), "b")).where("a <> b")
+    third of all rows point to is met by a small share of them in any task. Edges may repeat."""
+    part = Window.partitionBy("b", F.pmod(F.xxhash64("a", F.lit(3)), F.lit(FAN)))
+    dealt = edges.select("a", F.min("a").over(part).alias("via"), "b")
+    return dealt.select("a", F.when(F.col("a") == F.col("via"), F.col("b")).otherwise(F.col("via")).alias("b")).where("a <> b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,16 +40,14 @@ def components(edges: DataFrame) -> DataFrame:
     then the label of that label, so chains shorten by half. Rounds are checkpointed; the driver only learns how many
     labels changed.
     """
-    near_ones = fanned(edges.where("a <> b").distinct()).transform(settled)
-    both = near_ones.union(near_ones.select("b", "a")).distinct().transform(settled)
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = fanned(edges.where("a <> b")).select(ways.alias("e")).select("e.a", "e.b").distinct().transform(settled)
     labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node").transform(settled)
-    n = labels.count()
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("a") == F.col("node"), "left").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label")).transform(settled)
-        shared = step.groupBy("label").agg(F.count("*").alias("rows"))
-        jump = shared.join(labels.select(F.col("node").alias("label"), F.col("label").alias("far")), "label").transform(settled)
-        new = look_up(step, jump, ["label"], F.col("rows") * HOT > n).select("node", "before", F.least("label", "far").alias("label")).transform(settled)
+        step = labels.join(near, F.col("a") == F.col("node"), "left").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("node").alias("_via"), F.col("label").alias("_far"))
+        new = step.join(jump, F.col("label") == F.col("_via"), "left").select("node", "before", F.least("label", "_far").alias("label")).transform(settled)
         labels = new.select("node", "label")
         if new.where("label <> before").isEmpty():
             return labels

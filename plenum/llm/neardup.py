@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm.graph import FAN, HOT, components, look_up
+from plenum.llm.graph import HOT, components, fanned, look_up
 from plenum.llm.lineage import numbered, settled
 
 N, THRESHOLD = 5, 0.8
@@ -176,14 +176,10 @@ def _verify(threshold: float):
 
 
 def band_edges(banded: DataFrame) -> DataFrame:
-    """(a, b): edges that join all nodes of a band (node, band). Nodes of a part of a band are joined to its least, and
-    those to the least of the band, so that neither a task nor a node has to do with all of a large band."""
-    parts = banded.select("node", "band", F.pmod(F.xxhash64("node", F.lit(4)), F.lit(FAN)).alias("part"))
-    least = parts.groupBy("band", "part").agg(F.min("node").alias("via"), F.count("*").alias("n"))
-    hubs = least.groupBy("band").agg(F.min("via").alias("hub"), F.sum("n").alias("n")).where("n > 1").select("band", "hub")
-    inner = parts.join(least.where("n > 1").select("band", "part", "via"), ["band", "part"]).select(F.col("node").alias("a"), F.col("via").alias("b"))
-    outer = least.join(hubs, "band").select(F.col("via").alias("a"), F.col("hub").alias("b"))
-    return inner.union(outer).where("a <> b").distinct()
+    """(a, b): edges that join all nodes of a band (node, band) to its least, by way of others, so that no node has to do
+    with all of a large band."""
+    shared = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
+    return banded.join(shared, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct().transform(fanned)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL) -> DataFrame:
@@ -200,21 +196,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
     reps = signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("_row").alias("node"), F.count("*").alias("copies"), first, F.first("bands").alias("bands")).transform(settled)
     found = components(band_edges(reps.select("node", F.explode("bands").alias("band"))))
-    met = found.join(reps.select("node", "copies", "n"), "node").transform(settled)
-    sizes = met.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / GRAMS)).cast("long").alias("blocks"), F.count("*").alias("size"))
-    hot = F.col("size") * HOT > met.count()
-    members = look_up(met.select("node", "label", "copies"), sizes.transform(settled), ["label"], hot).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    texts = placed.select("_row", "text").join(members.drop("size").withColumnRenamed("node", "_row"), "_row")
+    met = found.join(reps.select("node", "copies", "n"), "node")
+    sizes = met.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / GRAMS)).cast("long").alias("blocks"))
+    members = met.drop("n").join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    texts = placed.select("_row", "text").join(members.withColumnRenamed("node", "_row"), "_row")
     sets = texts.select(F.col("_row").alias("node"), "label", "copies", "blocks", "block", "text").mapInArrow(lambda batches: _gram_sets(batches, n), "node long, label long, copies long, blocks long, block long, grams binary")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     paired = sets.withColumn("_other", other).select("label", F.least("block", "_other").alias("one"), F.greatest("block", "_other").alias("two"), "node", "copies", "block", "grams")
     checked = paired.groupBy("label", "one", "two").applyInArrow(_verify(threshold), "node long, links long, root long").transform(settled)
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    labelled = reps.join(links, "node", "left").join(joined, "node", "left").select("k1", "k2", "n", "copies", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label")).transform(settled)
-    heads = labelled.groupBy("label").agg(F.min("first").alias("head"), F.count("*").alias("size")).transform(settled)
-    headed = look_up(labelled, heads, ["label"], F.col("size") * HOT > labelled.count())
-    per_set = headed.select("k1", "k2", "n", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("head._row").alias("class_row"), F.col("head.doc_id").alias("class_id")).transform(settled)
+    labelled = reps.join(links, "node", "left").join(joined, "node", "left").select("k1", "k2", "n", "copies", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label"))
+    heads = labelled.groupBy("label").agg(F.min("first").alias("head"))
+    per_set = labelled.join(heads, "label").select("k1", "k2", "n", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("head._row").alias("class_row"), F.col("head.doc_id").alias("class_id")).transform(settled)
     out = look_up(signed.select("_row", "doc_id", "n", "k1", "k2"), per_set, ["k1", "k2", "n"], F.col("copies") * HOT > signed.count())
     return out.select("_row", "doc_id", F.coalesce("class_row", "_row").alias("class_row"), F.when(F.col("class_row").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 

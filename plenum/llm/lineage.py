@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import io
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -18,16 +16,29 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Logical nodes that leave each row where it was.
+IN_PLACE = {"Project", "Filter", "Generate", "SubqueryAlias", "View", "LocalRelation"}
+
+
+def _in_order(node) -> bool:
+    """Whether rows come in the same order each time they are asked for: scans of files and written checkpoints, and what leaves rows in place."""
+    kind = node.getClass().getSimpleName()
+    if kind == "LogicalRelation":
+        return node.relation().getClass().getSimpleName() == "HadoopFsRelation"
+    if kind == "LogicalRDD":
+        return node.rdd().isCheckpointed()
+    below = node.children()
+    return kind in IN_PLACE and all(_in_order(below.apply(k)) for k in range(below.size()))
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """`df` with each row's place in its input as the column `name`.
 
-    Rows of files come in the same order each time they are read. After a shuffle they need not, so that an input whose
-    plan has one is written first.
+    Rows of files come in the same order each time they are read. Those of anything else (a shuffle, an RDD, a
+    database, Python code) need not, so that such an input is written first.
     """
-    plan = io.StringIO()
-    with contextlib.redirect_stdout(plan):
-        df.explain()
-    return (settled(df) if "Exchange" in plan.getvalue() else df).withColumn(name, F.monotonically_increasing_id())
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return (df if _in_order(plan) else settled(df)).withColumn(name, F.monotonically_increasing_id())
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:

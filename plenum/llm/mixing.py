@@ -1,10 +1,12 @@
 """Mixing sources to target weights.
 
-Each source's texts form one stream of words, cut into blocks of equal size. The target of a source, in words, gives
-its quota of blocks. A splitting tree deals the quotas to the output shards: each node halves its shards and draws
-the left half's blocks from the multivariate hypergeometric distribution, so all quotas stay exact and no task holds
-more than one count for each source and shard. Each source's blocks are permuted (a second time for a second pass),
-and a shard takes its own range of the permutation; within a shard the blocks come in the order of a hash.
+Each source's documents form one stream, cut into blocks: a block is the run of whole documents that begin in the same
+BLOCK words of the stream. A source's blocks are permuted (a second time for a second pass), and as many are drawn as
+reach the source's target in words: that is its quota. A splitting tree deals the quotas to the output shards: each
+node halves its shards and draws the left half's blocks from the multivariate hypergeometric distribution, so all
+quotas stay exact and no task holds more than one count for each source and shard. A shard takes its own range of the
+permutation; within a shard the blocks come in the order of a hash. Documents stay whole, but for the one of each
+source in which the target is reached: its first words are taken.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
 N_SHARDS = 64
-BLOCK, BLOCKS = 256, 4096
+#: Words of a block: about a document.
+BLOCK = 512
 #: Rows of a group that one task ranks; also the largest number of sources that is broadcast.
 GROUP = 4096
 #: Words of mixed text that one task sorts.
@@ -103,19 +106,19 @@ def split_quotas(sources: DataFrame, n_shards: int, seed: int = SEED) -> DataFra
     return leaves.withColumn("end", ends).groupBy("rank").agg(F.transform(F.sort_array(F.collect_list(F.struct("shard", "end"))), lambda x: x["end"]).alias("ends"))
 
 
-def _offsets(df: DataFrame, key: list[str], order: str, size: Column, groups: Column) -> DataFrame:
-    """`df` with `offset`: the sum of `size` over the rows of the same `key` that come before, by group and then by `order`.
+def _offsets(df: DataFrame, key: list[str], order: str, groups: Column, **sizes: Column) -> DataFrame:
+    """`df` with, under each name in `sizes`, the sum of that size over the rows of the same `key` that come before, by group and then by `order`.
 
     A key's rows are dealt to groups; the groups' sums are added up first, so no task sorts a whole key.
     """
-    dealt = df.withColumn("_group", F.pmod(F.xxhash64(F.col(order), F.lit(7)), groups)).withColumn("_size", size)
-    sums = dealt.groupBy(*key, "_group").agg(F.sum("_size").alias("_sum"))
-    before = F.sum("_sum").over(Window.partitionBy(*key).orderBy("_group")) - F.col("_sum")
-    starts = sums.select(*[F.col(k).alias(f"_k_{k}") for k in key], F.col("_group").alias("_g"), before.alias("_before"))
+    dealt = df.withColumn("_group", F.pmod(F.xxhash64(F.col(order), F.lit(7)), groups)).withColumns({f"_size_{n}": c for n, c in sizes.items()})
+    sums = dealt.groupBy(*key, "_group").agg(*[F.sum(f"_size_{n}").alias(f"_sum_{n}") for n in sizes])
+    before = {n: F.sum(f"_sum_{n}").over(Window.partitionBy(*key).orderBy("_group")) - F.col(f"_sum_{n}") for n in sizes}
+    starts = sums.select(*[F.col(k).alias(f"_k_{k}") for k in key], F.col("_group").alias("_g"), *[c.alias(f"_before_{n}") for n, c in before.items()])
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key]
-    inside = F.sum("_size").over(Window.partitionBy(*key, "_group").orderBy(order)) - F.col("_size")
-    joined = dealt.withColumn("_inside", inside).join(starts, [F.col("_group") == F.col("_g"), *same])
-    return joined.withColumn("offset", F.col("_before") + F.col("_inside")).drop("_group", "_size", "_g", "_before", "_inside", *[f"_k_{k}" for k in key])
+    inside = Window.partitionBy(*key, "_group").orderBy(order)
+    joined = dealt.withColumns({f"_inside_{n}": F.sum(f"_size_{n}").over(inside) - F.col(f"_size_{n}") for n in sizes}).join(starts, [F.col("_group") == F.col("_g"), *same])
+    return joined.select(*df.columns, *[(F.col(f"_before_{n}") + F.col(f"_inside_{n}")).alias(n) for n in sizes])
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -132,40 +135,51 @@ def measure(df: DataFrame, text: str = "text", source: str = "source", keep: tup
     return numbered(df, "__row").select(*kept, F.col(f"`{source}`").alias("source"), n_words(F.col(f"`{text}`")).alias("size"), F.col("__row").alias("_row")).transform(settled)
 
 
-def plan_sources(rows: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataFrame:
-    """Per source: source_size, target, block size, number of blocks, quota and the shards' ranges. Written, as it is used twice."""
+def draw(rows: DataFrame, sources: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """((_row, rank, block, size, at), (rank, block, pass, place, mix_order, until)): each row's block and place in its
+    source's stream, and the blocks that are drawn, with their place among their source's draws and the place in the
+    stream up to which they are taken. Both are written.
+    """
+    plan = _small(sources.select(F.col("source").alias("_s"), "rank", "source_size", "source_rows", F.round("target").cast("long").alias("_aim")))
+    known = rows.where("size > 0").join(plan, F.col("_s").eqNullSafe(F.col("source"))).select("_row", "rank", "size", "source_rows")
+    runs = _offsets(known, ["rank"], "_row", F.ceil(F.col("source_rows") / GROUP).cast("long"), at=F.col("size"))
+    runs = runs.select("_row", "rank", F.floor(F.col("at") / BLOCK).alias("block"), "size", "at").transform(settled)
+    blocks = runs.groupBy("rank", "block").agg(F.sum("size").alias("words"), F.min("at").alias("begin")).join(plan.drop("_s"), "rank")
+    passes = F.when(F.col("_aim") > F.col("source_size"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    tickets = blocks.withColumn("pass", F.explode(passes)).withColumn("mix_order", F.xxhash64(F.lit(seed), "rank", "block", "pass")).withColumn("_id", F.struct("mix_order", "block"))
+    places = _offsets(tickets, ["rank", "pass"], "_id", F.ceil(F.col("source_rows") / GROUP).cast("long"), place=F.lit(1).cast("long"), before=F.col("words"))
+    left = F.col("_aim") - F.col("before") - F.col("pass") * F.col("source_size")
+    drawn = places.where(left > 0).select("rank", "block", "pass", "place", "mix_order", (F.col("begin") + F.least("words", left)).alias("until")).transform(settled)
+    return runs, drawn
+
+
+def plan(rows: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    """(per source: source_size, source_rows, target, quota, blocks of the first pass and the shards' ranges; what `draw` gives). All written."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
-    block = F.least(F.greatest(F.ceil(F.col("source_size") / BLOCKS), F.lit(1)), F.lit(BLOCK)).cast("long")
-    t = targets(sizes).withColumn("block", block).withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
-    quota = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * F.col("blocks"))).otherwise(0).cast("long")
-    t = t.withColumn("quota", quota).transform(settled)
-    return t.join(split_quotas(t, n_shards, seed), "rank").transform(settled)
+    t = targets(sizes).transform(settled)
+    drawn = draw(rows, t, seed)
+    quotas = drawn[1].groupBy("rank").agg(F.count("*").alias("quota"), F.count(F.when(F.col("pass") == 0, 1)).alias("blocks"))
+    t = t.join(quotas, "rank", "left").fillna(0, ["quota", "blocks"]).transform(settled)
+    return t.join(split_quotas(t, n_shards, seed), "rank").transform(settled), drawn
 
 
-def mix(rows: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
-    """(_row, pass, word_start, words, shard, mix_order): the runs of words that the mix takes of each row of `measure`.
+def plan_sources(rows: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataFrame:
+    """Per source: source_size, target, quota and the shards' ranges."""
+    return plan(rows, n_shards, seed)[0]
+
 
-    Runs of a row and pass don't overlap; a row of size 0 has none. Ties can't arise: a block's hash is followed by
-    its number. Results depend on the rows' order in their files, not on the number of tasks.
+def mix(rows: DataFrame, sources: DataFrame, seed: int = SEED, drawn: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(_row, size, pass, word_start, words, shard, mix_order): the words that the mix takes of each row of `measure`.
+
+    These are a row's words in one pass or both; a row of size 0 has none. Ties can't arise: a block's hash is followed
+    by its number. Results depend on the rows' order in their files, not on the number of tasks. `drawn`: what `draw`
+    gave, if it has been asked already.
     """
-    plan = _small(sources)
-    same = F.col("_s").eqNullSafe(F.col("source"))
-    tickets = sources.select("rank", "blocks", "quota", "ends", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("blocks") / GROUP).cast("long") - 1, F.lit(0).cast("long")))).alias("_part"))
-    tickets = tickets.repartition("rank", "_part").select("rank", "blocks", "quota", "ends", F.explode(F.sequence(F.col("_part") * GROUP, F.least((F.col("_part") + 1) * GROUP, F.col("blocks")) - 1)).alias("_block"))
-    passes = F.when(F.col("quota") > F.col("blocks"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    tickets = tickets.where("blocks > 0 AND quota > 0").withColumn("pass", F.explode(passes))
-    tickets = tickets.withColumn("mix_order", F.xxhash64(F.lit(seed), "rank", "_block", "pass"))
-    places = _offsets(tickets.withColumn("_id", F.struct("mix_order", "_block")), ["rank", "pass"], "_id", F.lit(1).cast("long"), F.greatest(F.ceil(F.col("blocks") / GROUP), F.lit(1)).cast("long"))
-    place = F.col("offset") + F.col("pass") * F.col("blocks")
-    taken = places.withColumn("_place", place).where("_place < quota").select("rank", "_block", "pass", "mix_order", F.size(F.filter("ends", lambda e: e <= F.col("_place"))).alias("shard"))
-    known = rows.where("size > 0").join(plan.select(F.col("source").alias("_s"), "rank", "block", "quota", "source_rows"), same).where("quota > 0")
-    streams = _offsets(known.select("_row", "rank", "size", "block", "source_rows"), ["rank"], "_row", F.col("size"), F.ceil(F.col("source_rows") / GROUP).cast("long"))
-    first, last = F.floor(F.col("offset") / F.col("block")), F.floor((F.col("offset") + F.col("size") - 1) / F.col("block"))
-    runs = streams.withColumn("_block", F.explode(F.sequence(first, last)))
-    begin = F.greatest(F.col("_block") * F.col("block"), F.col("offset"))
-    end = F.least((F.col("_block") + 1) * F.col("block"), F.col("offset") + F.col("size"))
-    runs = runs.select("_row", "rank", "_block", (begin - F.col("offset")).alias("word_start"), (end - begin).alias("words"))
-    return runs.join(taken, ["rank", "_block"]).select("_row", "pass", "word_start", "words", "shard", "mix_order")
+    runs, taken = drawn or draw(rows, sources, seed)
+    place = F.col("place") + F.col("pass") * F.col("blocks")
+    shards = taken.join(_small(sources.select("rank", "blocks", "ends")), "rank").withColumn("shard", F.size(F.filter("ends", lambda e: e <= place)))
+    words = F.least("size", F.col("until") - F.col("at"))
+    return runs.join(shards.drop("ends", "blocks", "place"), ["rank", "block"]).withColumn("words", words).where("words > 0").select("_row", "size", "pass", F.lit(0).cast("long").alias("word_start"), "words", "shard", "mix_order")
 
 
 def in_mixed_order(df: DataFrame, words: int, n_shards: int, order: list[str]) -> DataFrame:
@@ -176,33 +190,36 @@ def in_mixed_order(df: DataFrame, words: int, n_shards: int, order: list[str]) -
 
 
 def mix_texts(df: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataFrame:
-    """The mixed rows of `df` (columns text, source, n_chars and any others): a row for each run of words that the mix takes.
+    """The mixed rows of `df` (columns text, source, n_chars and any others): a row for each time that the mix takes a document.
 
-    Rows come by shard and, within a shard, in the mixed order: a partition holds rows of one shard only. A run's text
-    has the white space before its words, and a row's last words also have what is behind them. Rows without words are
-    dropped: no mix can take words of them.
+    Rows come by shard and, within a shard, in the mixed order: a partition holds rows of one shard only. Texts are
+    whole, but for the one of each source in which its target is reached: of that the words up to there. Rows without
+    words are dropped: no mix can take words of them. Null sources are a source of their own; repeated rows are rows
+    of their own; an empty table gives no rows.
     """
     placed = numbered(df, "__row")
     rows = measure(placed.drop("__row"), keep=())
-    sources = plan_sources(rows, n_shards, seed)
-    n_taken = sources.agg(F.sum(F.col("quota") * F.col("block"))).first()[0] or 0
-    run = F.struct(F.col("shard").alias("__shard"), F.col("mix_order").alias("__order"), F.col("pass").alias("__pass"), "word_start", "words")
-    pieces = mix(rows, sources, seed).groupBy("_row").agg(F.collect_list(run).alias("__runs")).select(F.col("_row").alias("__row"), "__runs")
-    token = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]++\z)?"), F.lit(0))
-    cut = lambda t, r: F.array_join(F.slice(t, (r["word_start"] + 1).cast("int"), r["words"].cast("int")), "")
-    texts = let(token, lambda t: F.transform("__runs", lambda r: F.struct(r["__shard"].alias("__shard"), r["__order"].alias("__order"), r["__pass"].alias("__pass"), r["word_start"].alias("__start"), cut(t, r).alias("__text"))))
-    mixed = placed.join(pieces, "__row").withColumn("__run", F.explode(texts)).drop("__runs", "text").select("*", "__run.*").drop("__run").withColumnRenamed("__text", "text")
-    ordered = in_mixed_order(mixed, n_taken, n_shards, ["__order", "__row", "__pass", "__start"])
+    sources, drawn = plan(rows, n_shards, seed)
+    n_taken = sources.agg(F.sum(F.round("target"))).first()[0] or 0
+    run = F.struct(F.col("shard").alias("__shard"), F.col("mix_order").alias("__order"), F.col("pass").alias("__pass"), F.when(F.col("words") < F.col("size"), F.col("words").cast("int")).alias("__words"))
+    pieces = mix(rows, sources, seed, drawn).groupBy("_row").agg(F.collect_list(run).alias("__runs")).select(F.col("_row").alias("__row"), "__runs")  # two at most
+    token = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("__run.__words").isNull(), F.col("text")).otherwise(F.array_join(F.slice(token, F.lit(1), F.col("__run.__words")), ""))
+    mixed = placed.join(pieces, "__row").withColumn("__run", F.explode("__runs")).withColumn("text", text).drop("__runs").select("*", "__run.*").drop("__run", "__words")
+    ordered = in_mixed_order(mixed, int(n_taken), n_shards, ["__order", "__row", "__pass"])
     return ordered.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes, and the runs that each shard takes of it, in the mixed order."""
+    """How many words of each document the mix takes, and what each shard takes of it, in the mixed order.
+
+    A null or empty text has no words, and the mix takes none of it; null sources are a source of their own. Repeated rows are rows of their own.
+    """
     rows = measure(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
-    sources = plan_sources(rows)
+    sources, drawn = plan(rows)
     run = F.struct("shard", "mix_order", "pass", "word_start", "words")
-    taken = mix(rows, sources).groupBy("_row").agg(F.sum("words").alias("_taken"), F.sort_array(F.collect_list(run)).alias("_runs"))
-    plan = _small(sources.select(F.col("source").alias("_s"), "source_size", "target"))
-    out = rows.join(plan, F.col("_s").eqNullSafe(F.col("source"))).join(taken, "_row", "left")
+    taken = mix(rows, sources, SEED, drawn).groupBy("_row").agg(F.sum("words").alias("_taken"), F.sort_array(F.collect_list(run)).alias("_runs"))
+    goals = _small(sources.select(F.col("source").alias("_s"), "source_size", "target"))
+    out = rows.join(goals, F.col("_s").eqNullSafe(F.col("source"))).join(taken, "_row", "left")
     none = F.array().cast("array<struct<shard int, mix_order bigint, pass int, word_start bigint, words bigint>>")
     return out.select(F.col("kept.doc_id").alias("doc_id"), "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("_runs", none).alias("runs"))

@@ -96,9 +96,10 @@ def labelled(labels: DataFrame, most: int = LABELLED) -> DataFrame:
     return each.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(most)
 
 
-def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
+def log_ratios(docs: DataFrame, sample: DataFrame, level: bool = False) -> np.ndarray:
     """Per bucket the log ratio of its probabilities, each model with one count more in each bucket; 0 without any target
-    text. The raw model counts all documents."""
+    text. The raw model counts all documents. `level`: the raw counts are first brought to the target's total, so that
+    the added counts weigh alike in both models, and a bucket without evidence weighs 0 however small the corpus is."""
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left").select("text", "quality")
     sums = known.mapInArrow(_count, "bucket long, n_raw long, n_target long").groupBy("bucket").agg(F.sum("n_raw"), F.sum("n_target"))
     counts = np.ones((2, BUCKETS))
@@ -106,6 +107,9 @@ def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
         counts[:, bucket] += raw, target
     if counts[1].sum() == BUCKETS:
         return np.zeros(BUCKETS, np.float32)
+    if level:
+        n = counts.sum(axis=1) - BUCKETS
+        counts[0] = (counts[0] - 1) * (n[1] / n[0]) + 1
     logs = np.log(counts) - np.log(counts.sum(axis=1, keepdims=True))
     return (logs[1] - logs[0]).astype(np.float32)
 
@@ -114,7 +118,8 @@ def cut(scored: DataFrame, sample: DataFrame) -> float:
     """The log weight that best parts good from bad among the labelled sample, errors of both kinds weighing alike as rates.
 
     A label counts once, with the mean weight of the rows that share its id. Of the cuts whose error is within SLACK
-    of the least it is the middle of the widest gap.
+    of the least it is the middle of the widest gap; only if none between two weights is that good, all are
+    kept (-inf).
     Without bad ones it is the least weight of the good, without good ones nothing is cut.
     """
     known = scored.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.avg("log_weight"), F.max("quality"))
@@ -128,6 +133,8 @@ def cut(scored: DataFrame, sample: DataFrame) -> float:
     w, good = w[order], good[order]
     lost, left = np.cumsum(good) / good.sum(), 1 - np.cumsum(~good) / (~good).sum()
     cost = (lost + left)[:-1] + 2.0 * (np.diff(w) <= 0)
+    if not len(cost) or cost.min() > 1 + SLACK:  # keeping all, or none, costs 1
+        return float("-inf")
     best = np.flatnonzero(cost <= cost.min() + SLACK)
     at = best[np.argmax(np.diff(w)[best])]
     return float((w[at] + w[at + 1]) / 2)
@@ -152,14 +159,14 @@ def kth_largest(df: DataFrame, col: str, k: int) -> tuple[float, int]:
     return low, k
 
 
-def weigh(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[DataFrame, int]:
-    """((_row, doc_id, log_weight, key) of every document, k). Written to the checkpoint folder.
+def weigh(docs: DataFrame, labels: DataFrame, most: int = LABELLED, level: bool = False) -> tuple[DataFrame, int]:
+    """((_row, doc_id, log_weight, key) of every document, k). Written to the checkpoint folder. `level`: see log_ratios.
 
     `_row` is a row's place in its input. A null or empty text has no n-grams: its log weight is 0. Repeated rows are drawn one by one.
     """
     sample = labelled(labels, most)
     sample = sample.transform(settled)
-    ratio = log_ratios(docs, sample)
+    ratio = log_ratios(docs, sample, level)
     u = (F.pmod(F.xxhash64(F.lit(SEED), "_row", "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "__row").select(F.col("__row").alias("_row"), "doc_id", "text")
     scored = rows.mapInArrow(lambda batches: _score(batches, ratio), "_row long, doc_id long, log_weight double")
@@ -177,13 +184,17 @@ def draw(scored: DataFrame, k: int) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are drawn, with all their columns."""
+    """The documents that are drawn, with all their columns.
+
+    A null or empty text weighs 0, a very long one the sum over all its n-grams. Repeated rows are rows of their own;
+    among equal keys those that come first are drawn. Other columns pass, whatever their names.
+    """
     rows = numbered(docs, "__row")
-    return rows.join(draw(*weigh(rows.drop("__row"), labels)).select(F.col("_row").alias("__row")), "__row").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(draw(*weigh(rows.drop("__row"), labels, level=True)).select(F.col("_row").alias("__row")), "__row").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that the classifier keeps, with their log weights and keys."""
+    """The documents that the classifier keeps, with their log weights and keys; nulls, ties and repeats as in `classify`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return draw(*weigh(docs, labels)).select("doc_id", "log_weight", "key")
+    return draw(*weigh(docs, labels, level=True)).select("doc_id", "log_weight", "key")

@@ -1,7 +1,7 @@
 """Secret scans over a trigram inverted index.
 
 From each rule's regular expression follows its Boolean trigram query: an OR of clauses, each an AND of trigrams, one
-of which any match satisfies. The index maps each trigram that some clause names to the rows whose lower-cased text
+of which any match satisfies. The index maps each trigram that some clause names to the rows whose text, A-Z lower-cased,
 holds it. A clause's postings are intersected by counting, a rule's clauses are united, and only the rows so found
 are verified with the rule's expression. A rule without mandatory trigrams scans every row.
 """
@@ -9,6 +9,7 @@ are verified with the rule's expression. A rule without mandatory trigrams scans
 from __future__ import annotations
 
 import re
+import string
 import warnings
 from dataclasses import dataclass
 from functools import cache
@@ -158,9 +159,15 @@ def _part(parsed) -> Part:
     return out
 
 
+#: What Java and Python read alike, piece by piece: escapes of one character, numbers of four or two hexadecimal digits, a
+#: back-reference of one digit, what may follow "(?", classes without classes inside them, and other single characters.
+_ESCAPE = r"\\(?:[^A-Za-z0-9\s]|[dDsSwWtnrfa]|x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4})"
+_ALIKE = re.compile(rf"(?:{_ESCAPE}|\\[bBAZ]|\\[1-9](?![0-9])|\((?:\?(?:[=!:>]|<[=!]|[ims]+(?:-[ims]+)?[:)]|-[ims]+[:)])|(?!\?))|\[\^?(?:{_ESCAPE}|[^\\\[\]&])+\]|[^\\(\[])*", re.DOTALL)
+
+
 def _parsed(regex: str):
-    """The parsed expression, or None for what only Java reads (class intersections, \\p{..} and the like)."""
-    if "&&" in regex or "\\Q" in regex:
+    """The parsed expression, or None if it has anything that only Java reads, or reads otherwise: then nothing is derived from it."""
+    if not _ALIKE.fullmatch(regex):
         return None
     try:
         with warnings.catch_warnings():
@@ -220,7 +227,7 @@ def index_trigrams(rules: tuple[Rule, ...]) -> list[str]:
 def postings(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(trigram, __row) for the rules' trigrams. `rows` has `__row` and `text`."""
     held = F.filter(F.array(*map(F.lit, index_trigrams(rules))).cast("array<string>"), lambda t: F.contains(F.col("__low"), t))
-    return rows.select("__row", F.lower("text").alias("__low")).select("__row", F.explode(held).alias("trigram"))
+    return rows.select("__row", F.translate("text", string.ascii_uppercase, string.ascii_lowercase).alias("__low")).select("__row", F.explode(held).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:

@@ -48,3 +48,26 @@ def test_large_shards_are_sorted_in_parts(spark, docs, monkeypatch):
     whole = rows()
     monkeypatch.setattr(mixing, "SORTED", 2000)
     assert rows() == whole
+
+
+def test_documents_stay_whole(spark, tables):
+    """All but one document of each source are taken whole; targets are met to the word; a row is about a document."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "source", "text").withColumn("at", F.monotonically_increasing_id()).withColumn("n_chars", F.lit(0).cast("long"))
+    got = mixing.op2(spark, tables).collect()
+    cut = Counter(r.source_size for r in got for x in r.runs if x.words < r.size)
+    assert all(n <= 1 for n in cut.values())
+    taken = defaultdict(int)
+    for r in got:
+        taken[r.source_size, r.target] += r.taken
+    assert all(abs(n - target) <= 0.5 + 1e-6 for (_, target), n in taken.items())
+    texts = {r.at: r.text for r in docs.collect()}
+    mixed = mixing.mix_texts(docs).collect()
+    assert sum(r.text != texts[r.at] for r in mixed) <= len({r.source_size for r in got})
+    assert all(texts[r.at].startswith(r.text) for r in mixed)
+
+
+def test_mixed_rows_are_as_long_as_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    size = mixing.n_words(F.col("text"))
+    before, after = (df.agg(F.avg(size), F.count("*")).first() for df in (docs.where(size > 0), mixing.mix_texts(docs)))
+    assert abs(after[0] - before[0]) <= 0.1 * before[0] and after[1] < 2 * before[1]

@@ -388,6 +388,21 @@ def test_weights_and_draw_against_plain_counts(spark):
     assert len(grams("good Fine, x9")) == 3 + 2 + 3 + 2 + 1
 
 
+def test_level_weights_part_good_from_bad(spark):
+    """On a corpus that is small beside the buckets: n-grams without evidence weigh nothing, and good texts outweigh bad ones."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["good", "Fine,", "x9", "BAD!!", "bad", "|"]) for _ in range(rng.randint(0, 25))) for _ in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(3)
+    labels = spark.createDataFrame([(k, int("good" in texts[k])) for k in range(0, 160, 2)], "doc_id long, quality int")
+    scored, _ = quality.weigh(docs, labels, level=True)
+    w = {r.doc_id: r.log_weight for r in scored.collect()}
+    good, bad = [w[k] for k in range(0, 160, 2) if "good" in texts[k]], [w[k] for k in range(0, 160, 2) if "good" not in texts[k]]
+    assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad)) > 0.9
+    ratio = quality.log_ratios(docs, quality.labelled(labels), level=True)
+    seen = {g for t in texts for g in quality.Features()(t).tolist()}
+    assert all(ratio[k] == 0 for k in range(0, quality.BUCKETS, 97) if k not in seen)
+
+
 def test_labels_are_bounded_by_ids(spark):
     labels = spark.createDataFrame([(1, 1)] * 50 + [(k, 0) for k in range(2, 12)], "doc_id long, quality int")
     assert quality.labelled(labels, 20).count() == 11 and quality.labelled(labels, 5).count() == 5

@@ -30,7 +30,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes: a row for each run of words, by shard and in the mixed order."""
+    """What the mix takes: a row for each time that it takes a document, by shard and in the mixed order."""
     return mixing.mix_texts(docs).select(*COLUMNS)
 
 

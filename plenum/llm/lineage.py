@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -44,3 +45,10 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value) with `value` worked out once."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: for rows that are large, or read by column. Like all that is written there it is left to whoever owns the folder."""
+    at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.parquet(at)

@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from plenum.plans import decisions, lifecycle, relational, scalars, speech, streams  # noqa: F401
+    from plenum.plans import decisions, lifecycle, live, relational, scalars, speech, streams  # noqa: F401
 
 
 _load()

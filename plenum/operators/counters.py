@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plenum.operators.ordered import Ordered
+
 
 def delta(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """`rows` with `delta`: `value` less that of the row before; 0 for a key's first row."""
@@ -35,8 +37,8 @@ def running_text(rows: DataFrame, keys: list[str], order: list[str], text: str)
 
 
 def queue(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """`rows` with `position`, from 1."""
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    """`rows` with `position`, from 1, however many rows a key has."""
+    return Ordered(rows, keys, order).running("position", F.lit(1)).done()
 
 
 def report_totals(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plenum.operators.ordered import Ordered
+
 
 def islands(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """`rows` with `island`: numbered from 1, one more wherever `value` differs from that of the row before (null equals null)."""
-    seq = Window.partitionBy(*keys).orderBy(*order)
-    same = F.col(value).eqNullSafe(F.lag(value).over(seq)) & F.lag(F.lit(1)).over(seq).isNotNull()
-    return rows.withColumn("_new", (~same).cast("int")).withColumn("island", F.sum("_new").over(seq.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    before = Ordered(rows, keys, order).beside("_was", F.struct(F.col(value).alias("v")))
+    same = F.col("_was").isNotNull() & F.col(value).eqNullSafe(F.col("_was.v"))
+    return before.running("island", (~same).cast("int")).done().drop("_was")
 
 
 def speaker_text(segments: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plenum.operators import intervals, lifecycle, ratelimit
 from plenum.plans.analogues import entity, recursive, with_views
 from plenum.plans.registry import query
-from plenum.plans.speech import _OVERLAP, _overlaps, presence
+from plenum.plans.speech import _OVERLAP, DAY_MS, _sides, presence
 from plenum.sources import stores
 from plenum.sources.tables import table
 
@@ -20,10 +20,10 @@ SELECT day, speaker, attendee, score FROM (SELECT o.day, speaker, o.attendee, ov
 FROM lap o JOIN total t ON o.day = t.day AND o.speaker = t.participant JOIN first f ON f.day = o.day AND f.attendee = o.attendee) WHERE n = 1 AND score >= 0.5"""))
 def e12_first(spark, d):
     """Of equal shares the attendee whose interval was closed first wins; those whose intervals nothing closed come last."""
-    said, overlaps = _overlaps(spark, d)
+    said, there = _sides(spark, d)
     heard = F.coalesce(F.min(F.when(c("closed"), c("end"))), F.lit((1 << 63) - 1))
-    first = presence(spark, d).groupBy("day", c("participant").alias("attendee")).agg(F.struct(heard.alias("heard"), c("attendee")).alias("first"))
-    return intervals.best_match(overlaps.join(first, ["day", "attendee"]), intervals.total(said, ["day", "speaker"]), ["day"], "speaker", "attendee", "first")
+    first = presence(spark, d).groupBy("day", c("participant").alias("attendee")).agg(heard.alias("heard"))
+    return intervals.best_matches(said, there.join(first, ["day", "attendee"]), ["day"], "speaker", "attendee", ["heard", "attendee"], DAY_MS)
 
 
 _RATES, _WEEK = {"request_entry": 5, "creation_callback": 4, "roomkit_join": 3, "connection_test": 2}, 7 * 86_400_000

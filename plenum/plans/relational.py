@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plenum.operators import access, dedupe, dml, paging
+from plenum.operators import access, counters, dedupe, dml, paging
 from plenum.operators import quality as dq
 from plenum.plans.analogues import entity, with_views
 from plenum.plans.registry import query
@@ -384,8 +384,8 @@ def g8_all(spark, d):
 
 @query("g9_two_level_sort", with_views("meeting", "SELECT event_id, row_number() OVER (PARTITION BY day ORDER BY type, event_id) AS place FROM meeting"))
 def g9(spark, d):
-    by = Window.partitionBy("day").orderBy("type", "event_id")
-    return entity(spark, d, "meeting").select("event_id", F.row_number().over(by).cast("long").alias("place"))
+    rows = entity(spark, d, "meeting").select("day", "type", "event_id")
+    return counters.queue(rows, ["day"], ["type", "event_id"]).select("event_id", F.col("position").cast("long").alias("place"))
 
 
 @query("g10_preference_ladder", with_views("meeting", "SELECT participant, event_id FROM (SELECT *, row_number() OVER (PARTITION BY participant ORDER BY (event_id % 50 = 0) DESC, (event_id % 7 = 0) DESC, coalesce(CASE WHEN event_id % 4 > 0 THEN value END, 0) DESC, event_id) AS n FROM meeting) WHERE n = 1"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from plenum.operators import counters, intervals, islands, ratelimit
 from plenum.plans.analogues import entity, recursive, with_views
 from plenum.plans.registry import query
+from plenum.sources.folders import kept
 from plenum.sources.tables import table
 
-DAY_MS, SLOT_MS = 86_400_000, 21_600_000
+DAY_MS = 86_400_000
 
 
 def speech(spark, d):
@@ -53,6 +54,12 @@ def f13(spark, d):
     return intervals.merge(speech(spark, d), ["day", "participant"])
 
 
+@query("f13_interval_merge_by_day", with_views("meeting", _SPEECH + _merged("merged", "(SELECT day, 0 AS participant, start, \"end\" FROM speech)") + ' SELECT day, start, "end" FROM merged'))
+def f13_day(spark, d):
+    """When anyone speaks: a day's intervals, however many, merged over all people."""
+    return intervals.merge(speech(spark, d), ["day"], large=True)
+
+
 _TOTAL = _SPEECH + _merged("merged", "speech") + ', total AS (SELECT day, participant, sum("end" - start)::BIGINT AS total FROM merged GROUP BY ALL)'
 
 
@@ -71,23 +78,23 @@ lap AS (SELECT s.day, s.participant AS speaker, p.participant AS attendee, sum(l
   FROM merged s JOIN attended p ON s.day = p.day AND s.start < p."end" AND p.start < s."end" GROUP BY ALL)"""
 
 
-def _overlaps(spark, d):
+def _sides(spark, d):
+    """Who speaks when, and who is there."""
     said = intervals.merge(speech(spark, d), ["day", "participant"]).withColumnRenamed("participant", "speaker")
     there = intervals.merge(presence(spark, d), ["day", "participant"]).withColumnRenamed("participant", "attendee")
-    return said, intervals.overlap(said, there, ["day"], "speaker", "attendee", SLOT_MS)
+    return kept(said), kept(there)
 
 
 @query("e11_interval_overlap_join", with_views("meeting", _OVERLAP + " SELECT * FROM lap"))
 def e11(spark, d):
-    return _overlaps(spark, d)[1]
+    return intervals.overlap(*_sides(spark, d), ["day"], "speaker", "attendee", DAY_MS)
 
 
 @query("e12_best_match", with_views("meeting", _OVERLAP + """
 SELECT day, speaker, attendee, score FROM (SELECT o.day, speaker, attendee, overlap / total AS score, row_number() OVER (PARTITION BY o.day, speaker ORDER BY overlap / total DESC, attendee) AS n
 FROM lap o JOIN total t ON o.day = t.day AND o.speaker = t.participant) WHERE n = 1 AND score >= 0.5"""))
 def e12(spark, d):
-    said, overlaps = _overlaps(spark, d)
-    return intervals.best_match(overlaps, intervals.total(said, ["day", "speaker"]), ["day"], "speaker", "attendee", "attendee")
+    return intervals.best_matches(*_sides(spark, d), ["day"], "speaker", "attendee", ["attendee"], DAY_MS)
 
 
 @query("f16_time_slices", with_views("meeting", _SPEECH + _merged("merged", "speech") + """,

@@ -56,6 +56,19 @@ def without_stale(users: DataFrame, moved: DataFrame) -> DataFrame:
     return left.join(kept, left["id"] == kept["_kept"], "left").withColumn("email", F.when(F.col("_kept").isNotNull(), F.lower("email")).otherwise(F.col("email"))).drop("_kept")
 
 
+def mergeable(users: DataFrame, moved: DataFrame, broken: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(`moved` of the groups that can be merged, (email, n) of those that can't): a group with a user in `broken` (id) stays as it was, all of it."""
+    bad = moved.join(broken.select(F.col("id").alias("_id")).distinct(), F.col("id_user") == F.col("_id")).select(F.col("survivor").alias("_bad")).distinct()
+    whole = moved.join(bad, F.col("survivor") == F.col("_bad"), "left_anti")
+    failed = moved.join(bad, F.col("survivor") == F.col("_bad")).join(users.select(F.col("id").alias("_u"), F.lower("email").alias("email")), F.col("id_user") == F.col("_u"))
+    return whole, failed.groupBy("email").agg(F.count("*").alias("n"))
+
+
+def merged_tables(users: DataFrame, accesses: DataFrame, files: DataFrame, moved: DataFrame) -> dict[str, DataFrame]:
+    """All tables that a merge changes."""
+    return {"users": without_stale(users, moved), "accesses": merge_accesses(accesses, moved), "files": reassign(files, moved, "creator_id")}
+
+
 def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Each key's first row."""
     by = Window.partitionBy(*keys).orderBy(*order)

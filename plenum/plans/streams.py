@@ -10,7 +10,7 @@ from plenum.plans.registry import query
 from plenum.sources import stores
 from plenum.sources.folders import fresh_folder
 from plenum.sources.tables import table
-from plenum.streaming import rooms
+from plenum.streaming import delivery, rooms
 
 c = F.col
 
@@ -128,6 +128,20 @@ def a13(spark, d):
     return spark.read.parquet(f"{at}/out").select("event_id", "value")
 
 
+@query("a13_webhook_delivery", "SELECT event_id::VARCHAR AS key, CASE WHEN event_id % 6 > 3 THEN 'dead' ELSE 'delivered' END AS status, least(event_id % 6 + 1, 4)::INTEGER AS attempts, CASE WHEN event_id % 6 > 3 THEN 'try 4' END AS error FROM events WHERE event_type = 'purchase'")
+def a13_delivery(spark, d):
+    """What came of each webhook: delivered at some try, or a dead letter after three more than the first."""
+
+    def send(key: str, body: str, attempt: int) -> None:  # an endpoint that answers no sooner than at a try of its own for each key
+        if attempt <= int(key) % 6:
+            raise delivery.RequestError(f"try {attempt}")
+
+    at = fresh_folder(spark, "delivered")
+    rows = _stream(spark, d).where("event_type = 'purchase'").select(c("event_id").cast("string").alias("key"), F.to_json(F.struct("event_id", "value")).alias("body"))
+    delivery.deliver(rows, f"{at}/out", f"{at}/state", send, pause=0.0).awaitTermination()
+    return delivery.delivered(spark, f"{at}/out").select("key", "status", "attempts", "error")
+
+
 @query("i11_once_stream", "SELECT DISTINCT event_id FROM events")
 def i11_stream(spark, d):
     return _drained(spark, rooms.once(_stream(spark, d).select("event_id", "at"), "event_id", "at").select("event_id"), "once")

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plenum.functions import fields, json_ops, text
+from plenum.operators import similarity
 from plenum.plans.analogues import _VIEWS, entity, with_views
 from plenum.plans.registry import query
 from plenum.sources.tables import table
@@ -108,6 +109,14 @@ def c11(spark, d):
     return fields.similar(entity(spark, d, "users").select("id", "email"), "email", "building").select("id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("c11_similar_pairs")
+def c11_pairs(spark, d):
+    """A table of search words against all users: segments, and the first part of each nation's addresses."""
+    words = table(spark, d, "customer").select(F.lower("c_mktsegment").alias("word")).union(table(spark, d, "nation").select(F.concat(F.lit("user"), c("n_nationkey").cast("string"))))
+    found = similarity.similar_pairs(entity(spark, d, "users").select("id", "email"), "id", "email", words, "word")
+    return found.select("word", "id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("c23_domain_allow_list", with_views("users rooms", ", g AS (SELECT owner_id % 10 AS app, string_agg(DISTINCT 'x' || owner_id % 3) AS x, bool_or(owner_id % 3 = 1) AS hit FROM rooms WHERE owner_id % 10 < 5 GROUP BY 1) SELECT u.id, coalesce(g.hit, true) AS allowed FROM users u LEFT JOIN g ON g.app = u.id % 10"))
 def c23(spark, d):
     lists = entity(spark, d, "rooms").where("owner_id % 10 < 5").groupBy((c("owner_id") % 10).alias("app")).agg(F.bool_or(c("owner_id") % 3 == 1).alias("hit"))

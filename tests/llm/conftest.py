@@ -51,6 +51,7 @@ def tables(spark, rows, tmp_path_factory):
     vectors = [(k, [rng.choice([-0.5, 0.25, 0.26, 1.0, -0.01, 0.0]) for _ in range(6)], 0) for k in range(90)]
     vectors += [(20, [1.0] * 6, 1), (21, None, 1), (40, [0.5, None], 1), (60, [float("nan")] * 6, 1), (61, [float("inf")], 1), (None, [1.0] * 6, 1), (80, [0.5, 0.5], 1), (80, [0.5, 0.5], 1), (81, [], 1), (100, [0.0] * 6, 1)]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").coalesce(2).write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([(1, 0, "user", "a b"), (2, None, None, None), (None, 1, "x", "y")], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
     return d
 
 
@@ -58,6 +59,6 @@ def tables(spark, rows, tmp_path_factory):
 def empty(spark, tables, tmp_path_factory):
     """The same tables without rows."""
     d = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "labels", "embeddings"):
+    for name in ("documents", "labels", "embeddings", "conversations"):
         spark.read.parquet(f"{tables}/{name}.parquet").limit(0).write.parquet(f"{d}/{name}.parquet")
     return d

@@ -20,7 +20,9 @@ WINDOW = 128
 WIDTHS, FILTERS = (2, 3, 4), 16
 REACH = max(WIDTHS) - 1
 #: The most texts of a language, windows of a text, languages and windows in all that the network is trained on.
-TEXTS, WINDOWS, MOST_LANGS, MOST_WINDOWS = 400, 4, 1000, 200_000
+TEXTS, WINDOWS, MOST_WINDOWS = 400, 4, 200_000
+#: Languages that are learned: all of which the sample can hold a text.
+MOST_LANGS = MOST_WINDOWS // WINDOWS
 EPOCHS, BATCH, RATE, SEED = 6, 128, 0.01, 1
 #: Bytes and windows that are worked on at once.
 BYTES, ROWS = 1 << 20, 64
@@ -158,8 +160,8 @@ def _predict(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.Rec
 def sample(rows: DataFrame) -> list[tuple[str, str]]:
     """(lang, window): WINDOWS windows of each of TEXTS different texts of a language (all, if it has fewer), those with the least hashes.
 
-    A text counts once for a language, however many rows hold it. The MOST_LANGS languages with the most rows are
-    learned, ties by name; if they are so many that MOST_WINDOWS is exceeded, each gives fewer texts.
+    A text counts once for a language, however many rows hold it. Of many languages each gives fewer texts, so that
+    there are MOST_WINDOWS windows at most; beyond one text each (MOST_LANGS) those with the most rows are learned, ties by name.
     """
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", F.xxhash64("text", F.lit(SEED)).alias("_hash"))
     langs = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("_hash").alias("different"))

@@ -44,6 +44,10 @@ def test_query(spark, duck, name):
     assert rows == sorted(repr(tuple(r[k] for k in order)) for r in want.fetchall())
 
 
+def test_cut_queries_have_whole_ones():
+    assert set(registry.CUT) <= set(registry.QUERIES) and set(registry.CUT.values()) <= set(registry.ORACLE_SQL)
+
+
 def test_filters_reach_the_scan(spark):
     plan = table(spark, DATA, "orders").where("o_orderstatus = 'F'").select("o_orderkey")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in plan and "o_totalprice" not in plan

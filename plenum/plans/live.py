@@ -75,20 +75,20 @@ def i4_index(spark, d):
 _LIFE, _BUCKET = 3600 * _US, 60 * _US
 
 
-@query("i5_presence_moves", f"""WITH e AS (SELECT 'room' || user_id % 50 AS room, user_id::VARCHAR AS who, epoch_us(ts) AS moment, event_id,
+@query("i5_presence_stream", f"""WITH e AS (SELECT 'room' || user_id % 50 AS room, user_id::VARCHAR AS who, epoch_us(ts) AS moment, event_id,
   CASE WHEN event_type = 'error' THEN 'left' WHEN event_type = 'purchase' AND event_id % 40 = 0 THEN 'room_end' ELSE 'seen' END AS kind FROM events),
 own AS (SELECT room, who, moment, event_id, kind FROM e WHERE kind <> 'room_end'
   UNION ALL SELECT p.room, p.who, e.moment, e.event_id, 'left' FROM e JOIN (SELECT DISTINCT room, who FROM e WHERE kind <> 'room_end') p ON p.room = e.room WHERE kind = 'room_end'),
 seq AS (SELECT *, lag(kind) OVER w AS was, lag(moment) OVER w AS was_at, lead(moment) OVER w AS next_at FROM own WINDOW w AS (PARTITION BY room, who ORDER BY moment, event_id)),
 mark AS (SELECT (max(epoch_us(ts)) // 1000 - 600000) * 1000 AS at FROM events)
-SELECT room, who, 'in' AS status, moment FROM seq WHERE kind = 'seen' AND NOT coalesce(was = 'seen' AND moment < was_at + {_LIFE}, false)
+SELECT room, who, status, moment / 1e6 AS at FROM (SELECT room, who, 'in' AS status, moment FROM seq WHERE kind = 'seen' AND NOT coalesce(was = 'seen' AND moment < was_at + {_LIFE}, false)
 UNION ALL SELECT room, who, 'out', moment FROM seq WHERE kind = 'left' AND was = 'seen' AND moment < was_at + {_LIFE}
-UNION ALL SELECT room, who, 'expired', moment + {_LIFE} FROM seq, mark WHERE kind = 'seen' AND (next_at >= moment + {_LIFE} OR next_at IS NULL AND ((moment + {_LIFE}) // {_BUCKET} + 1) * {_BUCKET} <= mark.at)""")
-def i5_moves(spark, d):
+UNION ALL SELECT room, who, 'expired', moment + {_LIFE} FROM seq, mark WHERE kind = 'seen' AND (next_at >= moment + {_LIFE} OR next_at IS NULL AND ((moment + {_LIFE}) // {_BUCKET} + 1) * {_BUCKET} <= mark.at))""")
+def i5_stream(spark, d):
     """Who comes, goes and is no more seen. Those whose minute hasn't passed by the last watermark are still in."""
     kind = F.when(c("event_type") == "error", "left").when((c("event_type") == "purchase") & (c("event_id") % 40 == 0), "room_end").otherwise("seen")
     rows = _stream(spark, d).select(F.concat(F.lit("room"), (c("user_id") % 50).cast("string")).alias("room"), c("user_id").cast("string").alias("who"), kind.alias("kind"), "event_id", F.unix_micros("at").alias("moment"), "at")
-    return _run(spark, live.presence(rows, ["moment", "event_id"]), "moves")
+    return _run(spark, live.presence(rows, ["moment", "event_id"]), "moves").select("room", "who", "status", (c("moment") / 1e6).alias("at"))
 
 
 _SESSION_EVENTS = "CASE event_type WHEN 'view' THEN CASE WHEN event_id % 3 = 0 THEN 'init' ELSE 'poll' END WHEN 'signup' THEN 'authenticate' WHEN 'purchase' THEN 'poll' ELSE 'consume' END"

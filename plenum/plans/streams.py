@@ -158,11 +158,3 @@ r AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS
 def i16_stream(spark, d):
     found = rooms.sessions(_stream(spark, d), "at", "user_id")
     return _drained(spark, found, "sessions", "complete").select("user_id", F.unix_micros("start").alias("start"), "n")
-
-
-@query("i5_presence_stream")
-def i5_stream(spark, d):
-    """Who comes and goes; people whose time ends after the last event are still in."""
-    kind = F.when(c("event_type") == "error", "left").when((c("event_type") == "purchase") & (c("event_id") % 40 == 0), "room_end").otherwise("seen")
-    rows = _stream(spark, d).select(F.concat(F.lit("room"), (c("user_id") % 50).cast("string")).alias("room"), c("user_id").cast("string").alias("who"), kind.alias("kind"), c("at").alias("ts"))
-    return _drained(spark, rooms.presence(rows), "presence")

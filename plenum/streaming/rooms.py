@@ -38,7 +38,8 @@ def sessions(events: DataFrame, at: str, key: str, gap: str = "30 minutes", late
 
 
 def presence(events: DataFrame, life: int = PRESENT, late: str = "10 minutes") -> DataFrame:
-    """(room, who, status, at): who comes into and goes out of a room.
+    """(room, who, status, at): who comes into and goes out of a room. For rooms of a few hundred people, where the
+    state store isn't RocksDB: each event looks at all of a room's people. `plenum.streaming.machines.presence` doesn't.
 
     `events` has room, who, kind (seen, left, room_end) and ts. The state of a room is a map of its people, so one
     event can clear it. Entries end `life` seconds after they were last seen, by event time.

@@ -214,12 +214,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
-    """One row of each class, with all columns: the one with the least doc_id."""
+    """One row of each class, with all columns: the one with the least doc_id. Nulls, empty texts and repeats as in `classes`; other columns may have any name."""
     rows = numbered(docs, "__row")
     kept = classes(rows.select("doc_id", "text"), threshold, n).where("_row = class_row").select(F.col("_row").alias("__row"))
     return rows.join(kept, "__row").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's class and number of links."""
+    """Every document's class and number of links.
+
+    A null or empty text has no words, so it has no links and is a class of its own. A text of fewer words than an
+    n-gram is one, of all its words; very long texts give all of theirs. Rows with a null doc_id take part; in a class they come last.
+    """
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "class_id", "n_links")

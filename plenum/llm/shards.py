@@ -78,7 +78,10 @@ def shard_names(n: int) -> list[str]:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its slot and shard, keyed by doc_id; an id that holds more than a shard's rows is dealt out by the other short columns."""
+    """Every document with its slot and shard, keyed by doc_id; an id that holds more than a shard's rows is dealt out by the other short columns.
+
+    A null id is a key like any other. Texts are not read, however long. Repeated rows stay rows; an empty table stays empty.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
     return shard_rows(docs, ["doc_id"], shard_names(N_SHARDS), TABLE_SIZE, ["source", "lang", "n_chars"]).select("doc_id", "slot", "shard")
 

@@ -174,6 +174,17 @@ def test_next_over_groups(spark, monkeypatch):
         assert max(sizes.values()) <= max(35, len(ids) // 3)
 
 
+def test_a_sketch_that_never_peels_is_told(spark, monkeypatch):
+    """After all attempts the query fails rather than guess."""
+    stuck = F.struct(F.array(F.lit(1)).alias("cells"), F.array().cast("array<bigint>").alias("a"), F.array().cast("array<bigint>").alias("b"))
+    widths = []
+    monkeypatch.setattr(fingerprints, "peel", lambda cells, width: widths.append(width) or stuck)
+    rows = spark.createDataFrame([("one\ntwo", "one\nthree")], "a string, b string").select(*[fingerprints.digests(F.col(c)).alias(c) for c in "ab"])
+    with pytest.raises(Exception, match="a sketch did not peel"):
+        rows.select(fingerprints.likeness(F.col("a"), F.col("b"))).collect()
+    assert len(widths) >= 2  # the stored tables, and the larger ones of the later attempts
+
+
 def test_hypergeometric(spark):
     rows = spark.range(4000).select(mixing.hypergeometric(F.lit(30).cast("long"), F.lit(100).cast("long"), F.lit(20).cast("long"), mixing.uniform(F.col("id"))).alias("x"))
     c = Counter(r.x for r in rows.collect())

@@ -14,9 +14,12 @@ all tasks; those beyond are looked up by a join, in which no pair has as many ro
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,13 @@ from plenum.llm.packing import Encoder, vocabulary
 REMEMBERED = 300_000
 #: Pairs whose counts go to all tasks (17 bytes each), and pairs that a task holds while it counts.
 HOT, HELD = 2_000_000, 2_000_000
-#: Links of an Arrow batch.
-BATCH = 1_000_000
+#: Links of an Arrow batch, and texts that are looked at together.
+BATCH, TEXTS = 1_000_000, 64
+#: Tokens of a chunk that is searched by itself.
+ALONE = 64
+#: How A's byte-level tokenizer splits a text (a fixed value), and characters at which Python's classes are asked no more.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+ODD = re.compile("[\x1c-\x1f]")
 
 LINKS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, a array<int>, b array<int>, times array<int>"
 
@@ -42,8 +50,39 @@ def pieces() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def gallop(short: list[int], long: list[int]) -> list[int]:
-    """For each number of the sorted `short` how many of the sorted `long` are smaller."""
+def gallop(short: np.ndarray, short_at: np.ndarray, long: np.ndarray, long_at: np.ndarray) -> np.ndarray:
+    """For each number of the sorted lists in `short`, the place in `long` of the first that isn't smaller in the list of the same number.
+
+    short_at, long_at: where each list begins, and the end of the last. Lists go side by side: in each round every
+    list that isn't through searches for its next number from where its last search stopped. The one list that is
+    longest sets the rounds, so long lists are better given alone and as Python lists (`gallop_one`).
+    """
+    ranks, at, size = np.empty(len(short), np.int64), long_at[:-1].copy(), np.diff(short_at)
+    live, k, most = np.flatnonzero(size > 0), 0, len(long) - 1
+    while len(live):
+        x, end = short[short_at[live] + k], long_at[live + 1]
+        low, probe, step = at[live], at[live].copy(), np.ones(len(live), np.int64)
+        go = np.flatnonzero(long[np.minimum(probe, most)] < x)
+        while len(go := go[probe[go] < end[go]]):
+            low[go] = probe[go] + 1
+            probe[go] += step[go]
+            step[go] *= 2
+            go = go[long[np.minimum(probe[go], most)] < x[go]]
+        high = np.minimum(probe, end)
+        while len(go := np.flatnonzero(low < high)):
+            mid = (low[go] + high[go]) >> 1
+            less = long[mid] < x[go]
+            low[go] = np.where(less, mid + 1, low[go])
+            high[go] = np.where(less, high[go], mid)
+        ranks[short_at[live] + k] = low
+        at[live] = low
+        k += 1
+        live = live[size[live] > k]
+    return ranks
+
+
+def gallop_one(short: list[int], long: list[int]) -> list[int]:
+    """`gallop` of one list."""
     at, n, ranks = 0, len(long), []
     for x in short:
         step, probe = 1, at
@@ -54,22 +93,20 @@ def gallop(short: list[int], long: list[int]) -> list[int]:
     return ranks
 
 
-def intersect(a_ends: list[int], b_ends: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(groups, links) of two lists of token ends that have the last end in common.
+def intersect(short: np.ndarray, short_at: np.ndarray, long: np.ndarray, long_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ranks, common, first) of token ends, list by list, of which each pair of lists has the last end in common.
 
-    groups: for each end that is in both lists how many A and B tokens there are up to it. links: for each token of the
-    shorter list the first and the last token of the longer one whose ranges overlap its own.
+    common: whether an end is in both lists. A short token overlaps the long tokens first .. rank, both in.
     """
-    turned = len(a_ends) > len(b_ends)
-    short, long = (b_ends, a_ends) if turned else (a_ends, b_ends)
-    groups, links, first = [], [], 0
-    for k, (x, rank) in enumerate(zip(short, gallop(short, long), strict=True)):
-        links.append((first, rank))
-        first = rank
-        if long[rank] == x:
-            groups.append((rank + 1, k + 1) if turned else (k + 1, rank + 1))
-            first = rank + 1
-    return groups, links
+    if len(short_at) == 2 and len(short) > ALONE:
+        ranks = np.array(gallop_one(short.tolist(), long.tolist()), np.int64)
+    else:
+        ranks = gallop(short, short_at, long, long_at)
+    common = long[ranks] == short
+    first = np.empty(len(short), np.int64)
+    first[1:] = ranks[:-1] + common[:-1]
+    first[short_at[:-1]] = long_at[:-1]
+    return ranks, common, first
 
 
 class Chunks:
@@ -83,18 +120,21 @@ class Chunks:
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
 
-        self.encode_a = Encoder(a_path)
-        self.encode_a.whole.encode_special_tokens, self.encode_a.special = True, []  # their strings are ordinary text
-        byte_of = {chr(c): bytes([b]) for b, c in self.encode_a.letters.items()}
-        vocab = self.encode_a.whole.get_vocab()
+        self.encoder = Encoder(a_path)
+        self.encoder.whole.encode_special_tokens, self.encoder.special = True, []  # their strings are ordinary text
+        byte_of = {chr(c): bytes([b]) for b, c in self.encoder.letters.items()}
+        vocab = self.encoder.whole.get_vocab()
         self.a_bytes = [b""] * (max(vocab.values()) + 1)
         for token, k in vocab.items():
             self.a_bytes[k] = b"".join(byte_of.get(c, c.encode()) for c in token)
+        self.fast = self._ranked(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         named = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(named)]
+        self.sizes = [np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes)]
+        self.said = [[str(k) for k in range(len(t))] for t in (self.a_bytes, self.b_bytes)]
         #: Whether no piece of B reaches over the edge of a chunk, and A's words are cut as is known here.
-        self.cut = self.encode_a.split and not any(re.search("[^▁]▁", p) for p in named)
+        self.cut = self.encoder.split and not any(re.search("[^▁]▁", p) for p in named)
         self.number: dict[str, int] = {}
         self.names: list[str] = []
         self.groups: list[str | None] = []  # None: one tokenizer's bytes are not the chunk's
@@ -102,37 +142,79 @@ class Chunks:
         self.starts = np.zeros(1025, np.int64)
         self.links = np.zeros(4096, np.int64)
 
-    def _align(self, name: str, b_ids: list[int]) -> tuple[str | None, tuple[int, int, int, int], list[int]]:
-        a_ids = np.frombuffer(self.encode_a(" " + name), np.uint32).tolist()
-        a, b, want = [self.a_bytes[k] for k in a_ids], [self.b_bytes[k] for k in b_ids], (" " + name).encode("utf-8", "replace")
-        if b"".join(a) != want or b"".join(b) != want:
-            return None, (0, 0, 0, 0), []
-        a_ends, b_ends = np.cumsum([len(x) for x in a]).tolist(), np.cumsum([len(x) for x in b]).tolist()
-        groups, ranges = intersect(a_ends, b_ends)
-        said, i, j = [], 0, 0
-        for x, y in groups:
-            said.append(f"{','.join(map(str, a_ids[i:x]))}|{','.join(map(str, b_ids[j:y]))}")
-            i, j = x, y
-        if len(a_ids) > len(b_ids):
-            links = [a_ids[k] << 32 | b_ids[r] for r, (first, last) in enumerate(ranges) for k in range(first, last + 1)]
-        else:
-            links = [a_ids[r] << 32 | b_ids[k] for r, (first, last) in enumerate(ranges) for k in range(first, last + 1)]
-        return ";".join(said), (len(a_ids), len(b_ids), len(groups), len(links)), links
+    def _ranked(self, path: str):
+        """A's vocabulary for tiktoken, or None if its merges don't come in the order of their ids."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model.get("merges", [])]
+        ids = [model["vocab"].get(m, -1) for m in merges]
+        if not self.encoder.split or ids != sorted(ids) or -1 in ids or len(set(ids)) < len(ids):
+            return None
+        ranks = {self.a_bytes[k]: k for k in {*ids, *(model["vocab"][chr(c)] for c in self.encoder.letters.values())}}
+        return tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def encode_a(self, text: str) -> list[int]:
+        """A's ids; texts with characters that splits may see otherwise go to A's own tokenizer."""
+        if self.fast and (text.isascii() and not ODD.search(text) or not self.encoder.ODD.search(text)):
+            return self.fast.encode_ordinary(text)
+        return np.frombuffer(self.encoder(text), np.uint32).tolist()
 
     def learn(self, names: list[str]) -> None:
-        for name, b_ids in zip(names, self.b.encode(names, num_threads=1), strict=True):
-            said, counts, links = self._align(name, b_ids or [self.b.piece_to_id("▁")])  # B gives nothing for the empty text
-            k = len(self.names)
-            if k == len(self.counts):
-                self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-                self.starts = np.concatenate([self.starts, np.zeros(k, np.int64)])
-            end = self.starts[k] + len(links)
-            while end > len(self.links):
-                self.links = np.concatenate([self.links, np.zeros_like(self.links)])
-            self.links[self.starts[k] : end] = links
-            self.starts[k + 1], self.counts[k], self.number[name] = end, counts, k
-            self.names.append(name)
-            self.groups.append(said)
+        """Aligns new chunks: all short ones side by side, long ones one by one."""
+        b_ids = self.b.encode(names, num_threads=1)
+        lists = [[self.encode_a(" " + n) for n in names], [x or [self.b.piece_to_id("▁")] for x in b_ids]]  # B gives nothing for the empty text
+        texts = [(" " + n).encode("utf-8", "replace") for n in names]
+        right = [b"".join([t[i] for i in x]) == want and b"".join([u[i] for i in y]) == want for (x, y, want), t, u in zip(zip(*lists, texts, strict=True), repeat(self.a_bytes), repeat(self.b_bytes))]
+        n = np.array([[len(x) for x in side] for side in lists], np.int64)
+        k, m = len(self.names), len(names)
+        while k + m > len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
+            self.starts = np.concatenate([self.starts, np.zeros(len(self.counts) // 2, np.int64)])
+        self.number.update(zip(names, range(k, k + m), strict=True))
+        self.names += names
+        self.groups += [None] * m
+        self.counts[k : k + m] = 0
+        found: dict[int, np.ndarray] = {}
+        good, alone, turned = np.array(right, bool), n.max(axis=0) > ALONE, n[0] > n[1]
+        for side in (0, 1):
+            own = np.flatnonzero(good & (turned == bool(side)))
+            for part in ([own[~alone[own]]] if len(own[~alone[own]]) else []) + [np.array([x]) for x in own[alone[own]]]:
+                self._align(part, lists[side], lists[1 - side], side, k, found)
+        sizes = self.counts[k : k + m, 3]
+        self.starts[k + 1 : k + m + 1] = self.starts[k] + np.cumsum(sizes)
+        while self.starts[k + m] > len(self.links):
+            self.links = np.concatenate([self.links, np.zeros_like(self.links)])
+        if found:
+            self.links[self.starts[k] : self.starts[k + m]] = np.concatenate([found[x] for x in sorted(found)])
+
+    def _align(self, part: np.ndarray, short: list, long: list, side: int, k: int, found: dict[int, np.ndarray]) -> None:
+        """Groups and links of the chunks numbered `part` of a batch that begins at number `k`. `side`: 1 if B's tokens are the shorter lists."""
+        flat, at, ends = [], [], []
+        for lists, sizes in ((short, self.sizes[side]), (long, self.sizes[1 - side])):
+            own = [lists[x] for x in part.tolist()]
+            flat.append(np.fromiter(chain.from_iterable(own), np.int64))
+            at.append(np.concatenate([[0], np.cumsum([len(x) for x in own])]))
+            ends.append(np.cumsum(sizes[flat[-1]]))  # over all chunks: both sides have the same bytes in each
+        ranks, common, first = intersect(ends[0], at[0], ends[1], at[1])
+        width = ranks - first + 1
+        one, many = np.repeat(flat[0], width), flat[1][np.repeat(first - np.cumsum(width) + width, width) + np.arange(int(width.sum()))]
+        pairs = many << 32 | one if side else one << 32 | many
+        in_chunk = np.add.reduceat(width, at[0][:-1])
+        cut = np.split(pairs, np.cumsum(in_chunk)[:-1])
+        self.counts[k + part] = np.stack([np.diff(at[side]), np.diff(at[1 - side]), np.add.reduceat(common.astype(np.int64), at[0][:-1]), in_chunk], axis=1)
+        names = [list(map(self.said[s].__getitem__, ids.tolist())) for s, ids in ((side, flat[0]), (1 - side, flat[1]))]
+        stops, i, j = np.flatnonzero(common).tolist(), 0, 0
+        made = []
+        for x, y in zip(stops, ranks[stops].tolist(), strict=True):
+            a, b = ",".join(names[0][i : x + 1]), ",".join(names[1][j : y + 1])
+            made.append(f"{b}|{a}" if side else f"{a}|{b}")
+            i, j = x + 1, y + 1
+        upto = 0
+        for x, c, links in zip(part.tolist(), self.counts[k + part, 2].tolist(), cut, strict=True):
+            self.groups[k + x], found[x] = ";".join(made[upto : upto + c]), links
+            upto += c
 
     def forget(self) -> None:
         """Those beyond REMEMBERED."""
@@ -140,36 +222,45 @@ class Chunks:
             del self.number[name]
         del self.names[REMEMBERED:], self.groups[REMEMBERED:]
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, str, np.ndarray, np.ndarray]:
-        """((n_a, n_b, n_groups, n_links), groups, distinct pairs, how often each is linked)."""
-        nothing = np.zeros(4, np.int64), "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not text:
-            return nothing
+    def _names(self, text: str) -> list[str]:
         if not self.cut:
-            names = [text]
-        elif text[0].isspace() or self.BLANK.search(text):
-            names = [c[1:] for c in self.EDGE.split(" " + text)]
-        else:
-            names = text.split(" ")
-        get = self.number.get
-        if new := [n for n in dict.fromkeys(names) if n not in self.number]:
+            return [text]
+        if text[0].isspace() or self.BLANK.search(text):
+            return [c[1:] for c in self.EDGE.split(" " + text)]
+        return text.split(" ")
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, str, np.ndarray, np.ndarray]]:
+        """For each text ((n_a, n_b, n_groups, n_links), groups, distinct pairs, how often each is linked)."""
+        nothing = np.zeros(4, np.int64), "", np.zeros(0, np.int64), np.zeros(0, np.int64)
+        named = [self._names(t) if t else [] for t in texts]
+        if new := [n for n in dict.fromkeys(chain.from_iterable(named)) if n not in self.number]:
             self.learn(new)
-        ids = np.fromiter(map(get, names), np.int64, len(names))
-        said = [self.groups[k] for k in ids.tolist()]
-        if None in said:
-            self.forget()
-            return nothing
-        sizes = self.counts[ids, 3]
-        begin = np.cumsum(sizes) - sizes
-        links = self.links[np.repeat(self.starts[ids] - begin, sizes) + np.arange(int(sizes.sum()))]
-        pairs, times = np.unique(links, return_counts=True)
-        counts = self.counts[ids].sum(axis=0)
+        out = []
+        for names in named:
+            numbers = list(map(self.number.__getitem__, names))
+            said = list(map(self.groups.__getitem__, numbers))
+            if not names or None in said:
+                out.append(nothing)
+                continue
+            ids = np.array(numbers, np.int64)
+            counts = self.counts[ids]
+            sizes = counts[:, 3]
+            begin = np.cumsum(sizes) - sizes
+            links = self.links[np.repeat(self.starts[ids] - begin, sizes) + np.arange(int(sizes.sum()))]
+            pairs, times = np.unique(links, return_counts=True)
+            out.append((counts.sum(axis=0), ";".join(said), pairs, times))
         self.forget()
-        return counts, ";".join(said), pairs, times
+        return out
+
+
+@cache
+def _chunks(a_path: str, b_path: str) -> Chunks:
+    """One for each Python worker: what it has learned serves its next tasks."""
+    return Chunks(a_path, b_path)
 
 
 def _linked(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
-    chunks, rows, held = Chunks(a_path, b_path), [], 0
+    chunks, rows, held = _chunks(a_path, b_path), [], 0
 
     def out() -> pa.RecordBatch:
         offsets = pa.array(np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])]), pa.int32())
@@ -180,12 +271,14 @@ def _linked(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iter
         return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in LINKS.split(", ")])
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            rows.append((doc, *chunks(text.as_py())))
-            held += len(rows[-1][3]) + 100
-            if held >= BATCH:
-                yield out()
-                rows, held = [], 0
+        for k in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(k, TEXTS)
+            for doc, found in zip(part.column(0).to_pylist(), chunks(part.column(1).to_pylist()), strict=True):
+                rows.append((doc, *found))
+                held += len(found[2]) + 100
+                if held >= BATCH:
+                    yield out()
+                    rows, held = [], 0
     if rows:
         yield out()
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,10 +91,10 @@ def test_small_memory(spark, table, monkeypatch):
     chunks = alignment.Chunks(packing.vocabulary(), alignment.pieces())
     fresh = alignment.Chunks(packing.vocabulary(), alignment.pieces())
     for t in texts(2, 60):
-        one = chunks(t)
+        one = chunks([t])[0]
         assert len(chunks.names) <= 5
         monkeypatch.setattr(alignment, "REMEMBERED", 10**6)
-        two = fresh(t)
+        two = fresh([t])[0]
         monkeypatch.setattr(alignment, "REMEMBERED", 5)
         assert all((x == y).all() if not isinstance(x, str) else x == y for x, y in zip(one, two, strict=True))
     monkeypatch.setattr(alignment, "HELD", 3)
@@ -107,9 +108,27 @@ def test_small_memory(spark, table, monkeypatch):
 
 def test_gallop():
     rng = random.Random(4)
-    for _ in range(300):
-        short, long = (sorted(rng.sample(range(200), rng.randrange(40))) for _ in range(2))
-        assert alignment.gallop(short, long) == [sum(y < x for y in long) for x in short]
+    for _ in range(60):
+        short, long, short_at, long_at, want = [], [], [0], [0], []
+        for k in range(rng.randrange(1, 8)):
+            a, b = (sorted(rng.sample(range(1000 * k, 1000 * k + 200), rng.randrange(40))) for _ in range(2))
+            assert alignment.gallop_one(a, b) == [sum(y < x for y in b) for x in a]
+            want += [len(long) + sum(y < x for y in b) for x in a]
+            short, long = short + a, long + b
+            short_at.append(len(short))
+            long_at.append(len(long))
+        if long:
+            got = alignment.gallop(np.array(short, np.int64), np.array(short_at), np.array(long, np.int64), np.array(long_at))
+            assert got.tolist() == want
+
+
+def test_ids_of_the_ranked_vocabulary():
+    """Short texts get the ids that A's own tokenizer gives."""
+    chunks = alignment.Chunks(packing.vocabulary(), alignment.pieces())
+    assert chunks.fast
+    rng = random.Random(9)
+    for t in texts(7, 300) + ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x250), rng.randrange(0x2000, 0x2100)])) for _ in range(30)) for _ in range(300)]:
+        assert chunks.encode_a(" " + t) == chunks.encoder.whole.encode(" " + t, add_special_tokens=False).ids
 
 
 def test_empty(spark, empty):

@@ -4,6 +4,10 @@ Candidates and queries are dealt to blocks of bounded size, and each pair of blo
 group every dimension has its list of candidates by value. A query walks all its lists at once, down where its
 component is positive and up where it is negative, and scores the candidates that it meets for the first time. What
 it has not met scores at most the sum of the values it has reached, so it stops when that can't beat its kth result.
+
+Each query begins in one block of candidates and goes on to GROWTH times as many in each further round. Its kth score
+of the blocks behind it is its floor in the next round: a list is left as soon as nothing below can reach the floor,
+and only what reaches it leaves a block. So what a query gathers grows with the logarithm of the number of blocks.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from plenum.llm.lineage import settled
 K = 20
 #: Candidates of a block, and queries of one at most and, while there are fewer pairs of blocks than PAIRS, at least.
 CANDIDATES, QUERIES, FEW_QUERIES, PAIRS = 16_384, 16_384, 512, 256
+#: How many times as many blocks each round covers.
+GROWTH = 4
 #: Entries of each list in the first step; each later step doubles the depth.
 STEP = 64
 SCALE = 64
@@ -40,10 +46,10 @@ def _matrix(table: pa.Table, width: int) -> np.ndarray:
     return out
 
 
-def threshold_search(points: np.ndarray, ids: np.ndarray, rows: np.ndarray, query: np.ndarray, own: int, down: np.ndarray, k: int, step: int = STEP) -> np.ndarray:
+def threshold_search(points: np.ndarray, ids: np.ndarray, rows: np.ndarray, query: np.ndarray, own: int, down: np.ndarray, k: int, step: int = STEP, floor: int | None = None) -> np.ndarray:
     """Indexes of the k best points for `query`, without the row `own`: by score, then by id.
 
-    down: for each dimension the points' indexes by falling value.
+    down: for each dimension the points' indexes by falling value. floor: points that score less don't matter.
     """
     n = len(points)
     used = np.flatnonzero(query)
@@ -58,13 +64,15 @@ def threshold_search(points: np.ndarray, ids: np.ndarray, rows: np.ndarray, quer
         fresh = np.flatnonzero(met & ~seen) if len(used) else np.flatnonzero(~seen)
         seen |= met
         got = points.take(fresh, axis=0) @ query
-        if len(best) == k:
-            fresh, got = fresh[got >= scores[-1]], got[got >= scores[-1]]
+        least = scores[-1] if len(best) == k else floor
+        if least is not None:
+            fresh, got = fresh[got >= least], got[got >= least]
         best, scores = np.concatenate([best, fresh]), np.concatenate([scores, got])
         order = np.lexsort((ids[best], -scores))[:k]
         best, scores, depth = best[order], scores[order], to
         reached = np.where(up, points[down[used, n - to], used], points[down[used, to - 1], used])
-        if not len(used) or seen.all() or len(best) == k and reached @ query[used] < scores[-1]:
+        least = scores[-1] if len(best) == k else floor
+        if not len(used) or seen.all() or least is not None and reached @ query[used] < least:
             break
     return best
 
@@ -83,8 +91,8 @@ def _search(k: int):
             down = np.ascontiguousarray(np.argsort(-points, axis=0, kind="stable").T.astype(np.int32))
             ids, rows = candidates.column("vec_id").to_numpy(), candidates.column("_row").to_numpy()
             names, owns = queries.column("vec_id").to_numpy(), queries.column("_row").to_numpy()
-            for query, name, own in zip(asked, names, owns, strict=True):
-                found = threshold_search(points, ids, rows, query, own, down, k)
+            for query, name, own, floor in zip(asked, names, owns, queries.column("floor").to_pylist(), strict=True):
+                found = threshold_search(points, ids, rows, query, own, down, k, floor=floor)
                 out[0] += [own] * len(found)
                 out[1] += [name] * len(found)
                 out[2] += ids[found].tolist()
@@ -103,15 +111,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """
     rows = vectors.where("vec_id IS NOT NULL AND v IS NOT NULL").select(F.monotonically_increasing_id().alias("_row"), F.col("vec_id").cast("long").alias("vec_id"), "v", is_query.alias("_q")).transform(settled)
     n, asked = rows.agg(F.count("*"), F.count_if("_q")).first()
-    c_blocks = max(1, math.ceil(n / CANDIDATES))
-    q_blocks = max(1, math.ceil(asked / QUERIES), min(math.ceil(asked / FEW_QUERIES), PAIRS // c_blocks))
-    deal = lambda blocks, salt: F.pmod(F.xxhash64("_row", F.lit(salt)), F.lit(blocks))
-    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    candidates = rows.select("_row", "vec_id", "v", deal(c_blocks, 1).alias("cb"), every(q_blocks).alias("qb"))
-    queries = rows.where("_q").select("_row", "vec_id", "v", every(c_blocks).alias("cb"), deal(q_blocks, 2).alias("qb"))
-    found = candidates.groupBy("cb", "qb").cogroup(queries.groupBy("cb", "qb")).applyInArrow(_search(k), "_row long, query_id long, vec_id long, score long")
+    blocks = max(1, math.ceil(n / CANDIDATES))
+    deal = lambda parts, salt: F.pmod(F.xxhash64("_row", F.lit(salt)), F.lit(parts))
+    every = lambda first, after: F.explode(F.sequence(F.lit(first).cast("long"), F.lit(after - 1).cast("long")))
     order = Window.partitionBy("_row").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best, behind, ahead = None, 0, 1
+    while behind < blocks:
+        met = math.ceil(asked * (ahead - behind) / blocks)  # queries that a block of candidates meets in this round, about
+        parts = max(1, math.ceil(met / QUERIES), min(math.ceil(met / FEW_QUERIES), PAIRS // blocks))
+        queries = rows.where("_q").select(*[F.col(c).alias(c) for c in ("_row", "vec_id", "v")])  # columns of their own beside the candidates'
+        floors = best.where(F.col("rank") == k).select("_row", F.col("score").alias("floor")) if best else None
+        queries = queries.join(floors, "_row", "left") if best else queries.withColumn("floor", F.lit(None).cast("long"))
+        queries = queries.withColumn("_turn", every(behind, ahead)).select("_row", "vec_id", "v", "floor", F.pmod(deal(blocks, 3) + F.col("_turn"), F.lit(blocks)).alias("cb"), deal(parts, 2).alias("qb"))
+        candidates = rows.select("_row", "vec_id", "v", deal(blocks, 1).alias("cb"), every(0, parts).alias("qb"))
+        found = candidates.groupBy("cb", "qb").cogroup(queries.groupBy("cb", "qb")).applyInArrow(_search(k), "_row long, query_id long, vec_id long, score long")
+        both = found if best is None else best.drop("rank").unionByName(found)
+        best = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        behind, ahead = ahead, min(blocks, ahead * GROWTH)
+        if behind < blocks:
+            best = best.transform(settled)
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -311,6 +311,36 @@ def test_threshold_search_is_exact():
         assert list(got) == want
 
 
+def test_threshold_search_leaves_what_the_floor_excludes():
+    rng = np.random.default_rng(1)
+    points, ids = rng.integers(-5, 6, (300, 8)), rng.permutation(300)
+    down = np.argsort(-points, axis=0, kind="stable").T
+    for own in range(0, 300, 29):
+        s = points @ points[own]
+        for floor in sorted({int(s.max()) + 1, int(np.sort(s)[-3]), 0, int(s.min())}):
+            got = topk.threshold_search(points, ids, np.arange(300), points[own], own, down, 20, step=4, floor=floor)
+            assert list(got) == sorted((k for k in range(300) if k != own and s[k] >= floor), key=lambda k: (-s[k], ids[k]))[:20]
+
+
+@pytest.mark.parametrize("candidates, growth", [(23, 2), (50, 4), (400, 4)])
+def test_search_over_many_blocks(spark, monkeypatch, candidates, growth):
+    """Rounds with floors find what a plain search finds, with copies, ties over blocks and queries of few candidates."""
+    monkeypatch.setattr(topk, "CANDIDATES", candidates)
+    monkeypatch.setattr(topk, "GROWTH", growth)
+    monkeypatch.setattr(topk, "QUERIES", 9)
+    rng = random.Random(8)
+    rows = [(rng.randrange(250), [rng.randint(-3, 3) for _ in range(5)]) for _ in range(260)] + [(k, [1, 1, 1, 0, 0]) for k in range(60)] + [(500, [0] * 5), (520, [10**9, 0, 0, 0, 0]), (540, []), (None, [1] * 5), (560, None)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>").coalesce(3)
+    for k in (3, 70):
+        want = Counter()
+        fine = [(i, v) for i, v in rows if i is not None and v is not None]
+        for a, (q, v) in enumerate(fine):
+            if q % 20 == 0:
+                scored = sorted((-sum(x * y for x, y in zip(v, w, strict=False)), c) for b, (c, w) in enumerate(fine) if a != b)
+                want.update((q, rank, c, -s) for rank, (s, c) in enumerate(scored[:k], 1))
+        assert Counter(tuple(r) for r in topk.search(df, F.col("vec_id") % 20 == 0, k).collect()) == want
+
+
 def test_network_lookup_equals_convolution():
     rng = np.random.default_rng(3)
     net = langid.Network(["a", "b"], [rng.normal(size=(w, 256, langid.FILTERS)).astype(np.float32) for w in langid.WIDTHS], rng.normal(size=(langid.FILTERS * 3, 2)).astype(np.float32), np.zeros(2, np.float32))

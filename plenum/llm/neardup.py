@@ -3,17 +3,19 @@
 Rows with the same set of word n-grams are one representative from the start. MinHash signatures of the sets are cut
 into bands, and representatives that share a band are candidates. Every candidate component is verified on the full
 n-gram sets, in blocks of bounded size: the tasks count the links of each representative and join the linked ones,
-so no pair is ever written.
+so no pair is ever written. A component of more than one block is cut by the sizes of its sets into classes, so wide
+that linked sets are in one class or in two that follow each other; others don't meet.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plenum.llm.graph import HOT, components, fanned, look_up
@@ -23,6 +25,8 @@ N, THRESHOLD = 5, 0.8
 RECALL, MOST_HASHES = 0.999, 144
 #: Representatives of a block, and their n-grams in all (8 bytes each), about; columns of the matrix that counts common n-grams at once.
 BLOCK, GRAMS, COLUMNS = 1024, 2 << 20, 2048
+#: Blocks of a class are numbered from a multiple of this.
+CLASS = 1 << 32
 #: Words that a Python worker remembers; n-grams that are hashed at once.
 REMEMBERED, CHUNK = 300_000, 4096
 SEED = 9
@@ -182,6 +186,34 @@ def band_edges(banded: DataFrame) -> DataFrame:
     return banded.join(shared, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct().transform(fanned)
 
 
+def blocks_of(met: DataFrame, threshold: float) -> DataFrame:
+    """(node, label, copies, block, own, before, behind) of the nodes (node, label, copies, n) of all components.
+
+    block: CLASS times the node's size class and its block there; own, before, behind: blocks of its class and of those
+    on either side. A component of one block has one class. Nothing is lost: of two sets that are `threshold` alike the
+    smaller has at least that share of the other's n-grams, which is less than the width of a class.
+    """
+    width = -math.log(max(threshold - 1e-3, 1e-3))  # a little more than the threshold's, as `_verify` allows for rounding
+    classed = met.withColumn("_class", F.floor(F.log("n") / width).cast("long"))
+    blocks = lambda rows, grams: F.ceil(F.greatest(rows / BLOCK, grams / GRAMS)).cast("long")
+    whole = Window.partitionBy("label")
+    at = lambda k: F.coalesce(F.sum("own").over(whole.orderBy("_class").rangeBetween(k, k)), F.lit(0)).cast("long")
+    sizes = classed.groupBy("label", "_class").agg(F.count("*").alias("_rows"), F.sum("n").alias("_grams"))
+    sizes = sizes.withColumn("own", blocks(F.col("_rows"), F.col("_grams"))).select("label", "_class", "own", blocks(F.sum("_rows").over(whole), F.sum("_grams").over(whole)).alias("_all"), at(-1).alias("before"), at(1).alias("behind"))
+    one = F.col("_all") == 1
+    plan = sizes.select("label", "_class", F.when(one, 0).otherwise(F.col("_class")).alias("_part"), *[F.when(one, x).otherwise(F.col(c)).cast("long").alias(c) for c, x in (("own", 1), ("before", 0), ("behind", 0))])
+    block = F.col("_part") * CLASS + F.pmod(F.xxhash64("node"), F.col("own"))
+    return classed.join(plan, ["label", "_class"]).select("node", "label", "copies", block.alias("block"), "own", "before", "behind")
+
+
+def meetings() -> Column:
+    """The pairs of blocks (one, two) in which a node of `blocks_of` is met: a row for each."""
+    part = F.floor(F.col("block") / CLASS) * CLASS
+    each = lambda n, first: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: first + k)).otherwise(F.array().cast("array<bigint>"))
+    others = F.concat(each(F.col("own"), part), each(F.col("behind"), part + CLASS), each(F.col("before"), part - CLASS))
+    return F.explode(F.transform(others, lambda o: F.struct(F.least("block", o).alias("one"), F.greatest("block", o).alias("two"))))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL) -> DataFrame:
     """(_row, doc_id, class_row, class_id, n_links) of every row of `docs` (doc_id, text).
 
@@ -196,13 +228,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
     reps = signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("_row").alias("node"), F.count("*").alias("copies"), first, F.first("bands").alias("bands")).transform(settled)
     found = components(band_edges(reps.select("node", F.explode("bands").alias("band"))))
-    met = found.join(reps.select("node", "copies", "n"), "node")
-    sizes = met.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / GRAMS)).cast("long").alias("blocks"))
-    members = met.drop("n").join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    members = blocks_of(found.join(reps.select("node", "copies", "n"), "node"), threshold)
     texts = placed.select("_row", "text").join(members.withColumnRenamed("node", "_row"), "_row")
-    sets = texts.select(F.col("_row").alias("node"), "label", "copies", "blocks", "block", "text").mapInArrow(lambda batches: _gram_sets(batches, n), "node long, label long, copies long, blocks long, block long, grams binary")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    paired = sets.withColumn("_other", other).select("label", F.least("block", "_other").alias("one"), F.greatest("block", "_other").alias("two"), "node", "copies", "block", "grams")
+    sets = texts.select(F.col("_row").alias("node"), "label", "copies", "block", "own", "before", "behind", "text").mapInArrow(lambda batches: _gram_sets(batches, n), "node long, label long, copies long, block long, own long, before long, behind long, grams binary")
+    paired = sets.withColumn("_met", meetings()).select("label", "_met.one", "_met.two", "node", "copies", "block", "grams")
     checked = paired.groupBy("label", "one", "two").applyInArrow(_verify(threshold), "node long, links long, root long").transform(settled)
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))

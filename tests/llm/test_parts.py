@@ -341,6 +341,33 @@ def test_search_over_many_blocks(spark, monkeypatch, candidates, growth):
         assert Counter(tuple(r) for r in topk.search(df, F.col("vec_id") % 20 == 0, k).collect()) == want
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.5, 0.97])
+def test_blocks_of_all_that_can_be_linked_meet_once(spark, monkeypatch, threshold):
+    """Of every component each two sets of sizes that can be linked meet in one pair of blocks; a large one of many sizes leaves most other pairs out."""
+    monkeypatch.setattr(neardup, "BLOCK", 6)
+    rng = random.Random(5)
+    sizes = {1: [rng.choice([4, 5, 1, 2, 8, 10]) for _ in range(40)], 2: [100] * 50, 3: [3, 900, 1200], 4: [int(1.05**k) + 1 for k in range(200)], 5: [7]}
+    rows = [(100 * label + k + 1000 * (label == 5), label, 1, n) for label, ns in sizes.items() for k, n in enumerate(ns)]
+    got = neardup.blocks_of(spark.createDataFrame(rows, "node long, label long, copies long, n long"), threshold)
+    groups: dict = {}
+    for r in got.withColumn("_met", neardup.meetings()).select("label", "_met.one", "_met.two", "node", "block").collect():
+        groups.setdefault((r.label, r.one, r.two), []).append((r.node, r.block))
+    met: Counter = Counter()
+    for (label, one, two), nodes in groups.items():
+        assert all(b in (one, two) for _, b in nodes)
+        left, right = [v for v, b in nodes if b == one], [v for v, b in nodes if b == two]
+        met.update((label, *sorted((a, b))) for a in left for b in right if (a < b if one == two else True))
+    assert set(met.values()) <= {1}
+    for label in sizes:
+        own = [(v, n) for v, c, _, n in rows if c == label]
+        for i, (a, m) in enumerate(own):
+            for b, n in own[:i]:
+                if min(m, n) >= threshold * max(m, n):
+                    assert met[(label, *sorted((a, b)))] == 1
+    assert sum(c[0] == 3 for c in met) == 3  # one block
+    assert sum(c[0] == 4 for c in met) < 0.35 * 199 * 100
+
+
 def test_network_lookup_equals_convolution():
     rng = np.random.default_rng(3)
     net = langid.Network(["a", "b"], [rng.normal(size=(w, 256, langid.FILTERS)).astype(np.float32) for w in langid.WIDTHS], rng.normal(size=(langid.FILTERS * 3, 2)).astype(np.float32), np.zeros(2, np.float32))

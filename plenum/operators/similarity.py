@@ -2,7 +2,8 @@
 
 A text whose word similarity to a word of n trigrams is at least t holds ceil(t * n) of them, and so one of the word's
 n - ceil(t * n) + 1 rarest. Only texts that share such a trigram meet a word, and only those that hold enough of all its
-trigrams are scored. No pair is compared that shares nothing.
+trigrams are scored. No pair is compared that shares nothing. The texts
+and their index are never broadcast: what is known of their size before they are cut into trigrams is far too little.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ def similar_pairs(texts: DataFrame, key: str, text: str, words: DataFrame, word:
     rare = asked.select("_word", "_asked", "_need", F.explode("_asked").alias("_gram")).join(often, "_gram", "left")
     first = rare.groupBy("_word", "_need").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram"))).alias("_by"))
     prefix = first.select("_word", F.explode(F.transform(F.slice("_by", F.lit(1), F.size("_by") - F.col("_need") + 1), lambda x: x["_gram"])).alias("_gram"))
-    met = index.join(prefix, "_gram").select("_id", "_word").distinct()
-    both = met.join(rows, "_id").join(asked, "_word").where(F.size(F.array_intersect("_held", "_asked")) >= F.col("_need"))
+    met = index.hint("merge").join(few(kept(prefix)), "_gram").select("_id", "_word").distinct()
+    both = met.join(rows.hint("merge"), "_id").join(few(asked), "_word").where(F.size(F.array_intersect("_held", "_asked")) >= F.col("_need"))
     scored = both.select("_word", "_key", score("_text", "_word").alias("similarity")).where((F.col("similarity") >= threshold) & (F.col("similarity") > 0))
     return scored.select(F.col("_word").alias(word), F.col("_key").alias(key), "similarity")
 

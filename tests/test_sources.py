@@ -83,3 +83,14 @@ def test_words_meet_all_that_are_like_them(spark):
         assert Counter((r.word, r.id, round(r.similarity, 9)) for r in got.collect()) == want and want
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_texts_are_not_broadcast(spark):
+    """Texts and their index are as large as the table, whatever is thought of their size."""
+    from plenum.operators import similarity
+
+    texts, words = spark.createDataFrame([(1, "building"), (2, "user1@x")], "id long, email string"), spark.createDataFrame([("building",)], "word string")
+    got = similarity.similar_pairs(texts, "id", "email", words, "word")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_id" in plan and "BroadcastHashJoin [_id" not in plan and "BuildLeft" not in plan
+    assert [(r.word, r.id) for r in got.collect()] == [("building", 1)]

@@ -260,7 +260,8 @@ def f2(spark, d):
 
 @query("f3_first_owner", with_views("accesses", "SELECT resource_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY resource_id ORDER BY created_at, id) AS n FROM accesses WHERE role = 'owner') WHERE n = 1"))
 def f3(spark, d):
-    return dedupe.first_by(entity(spark, d, "accesses").where("role = 'owner'"), ["resource_id"], ["created_at", "id"]).select("resource_id", "user_id")
+    """Where an id occurs twice at a time, which the SQL leaves open, the smallest user wins, so that reruns agree."""
+    return dedupe.first_by(entity(spark, d, "accesses").where("role = 'owner'"), ["resource_id"], ["created_at", "id", "user_id"]).select("resource_id", "user_id")
 
 
 @query("h1_merge_accesses", with_views("users accesses", _moved_sql("max") + f"""

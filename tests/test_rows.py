@@ -173,3 +173,14 @@ def test_retention_bounds(spark):
     assert [r.id for r in dml.to_purge(files, F.lit(400), 168).collect()] == [3]
     with pytest.raises(ValueError):
         dml.stale_uploads(files, F.lit(300), -1)
+
+
+def test_first_owner_of_equal_rows(spark, tmp_path):
+    """Rows that tie on time and id give the same owner in whichever order they are read."""
+    from plenum.plans.registry import QUERIES
+
+    row = "SELECT 1L AS l_orderkey, 1 AS l_linenumber, {u}L AS l_suppkey, 5L AS l_partkey, 'A' AS l_returnflag, DATE'2024-01-01' AS l_shipdate"
+    for order in ((7, 9), (9, 7)):
+        at = str(tmp_path / str(order[0]))
+        spark.sql(" UNION ALL ".join(row.format(u=u) for u in order)).coalesce(1).write.parquet(f"{at}/lineitem.parquet")
+        assert [tuple(r) for r in QUERIES["f3_first_owner"](spark, at).collect()] == [(1, 7)]
